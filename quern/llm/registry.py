@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, spans, split, tokenizer
+from quern.llm import mixing, neardup, spans, split, tokenizer
 
-_MODULES = [split, tokenizer, mixing, spans]
+_MODULES = [split, neardup, tokenizer, mixing, spans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
