@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import boilerplate, mixing, mojibake, neardup, spans, split, tokenizer
+from quern.llm import boilerplate, contamination, mixing, mojibake, neardup, spans, split, tokenizer
 
-_MODULES = [boilerplate, mojibake, split, neardup, tokenizer, mixing, spans]
+_MODULES = [boilerplate, contamination, mojibake, split, neardup, tokenizer, mixing, spans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
