@@ -119,7 +119,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     distinct = stretches.groupBy("h", "heavy", "stretch_id").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.first("stretch").alias("stretch"), F.min("place").alias("place"))
     owned = distinct.withColumn("owner", F.when(F.col("_a") < F.col("_b"), F.lit(FMIndex.MANY)).otherwise(F.col("_a")))
     found = _divide(owned).repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_search, "stretch_id long, from_w int, to_w int")
-    windows = found.groupBy("stretch_id").agg(F.collect_set(F.struct("from_w", "to_w")).alias("w"))  # bounded by the stretch's length
+    windows = write_once(found.groupBy("stretch_id").agg(F.collect_set(F.struct("from_w", "to_w")).alias("w")), "windows")  # bounded by the stretch's length
     members = stretches.groupBy("stretch_id").agg(F.count(F.lit(1)).alias("_refs"))
     spans = lookup(stretches.select("doc_id", "first", "stretch_id"), windows.join(members, "stretch_id"), "stretch_id").where("w is not null")
     each = spans.select("doc_id", F.explode("w").alias("w"), "first").select("doc_id", (F.col("first") + F.col("w.from_w")).alias("a"), (F.col("first") + F.col("w.to_w") + SPAN).alias("b"))
