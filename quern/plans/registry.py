@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators import orphans
+from quern.plans import relational, scalar
 
-_MODULES = [orphans]
+_MODULES = [orphans, scalar, relational]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
