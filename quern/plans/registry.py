@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import orphans
+from quern.operators import chunking, orphans, vector
 from quern.plans import relational, scalar
 
-_MODULES = [orphans, scalar, relational]
+_MODULES = [orphans, scalar, relational, chunking, vector]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
