@@ -58,8 +58,9 @@ def count_of(c: Column, part: Column) -> Column:
 
 
 def overlapping_count(c: Column, part: Column) -> Column:
-    """Occurrences of a part, overlapping ones too."""
-    return F.when((F.length(part) > 0) & (F.length(c) >= F.length(part)), F.size(F.filter(F.sequence(F.lit(1), F.length(c) - F.length(part) + 1), lambda i: F.substring(c, i, F.length(part)) == part))).otherwise(0)
+    """Occurrences of a part, overlapping ones too: places from which it can be read."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return F.when(F.length(part) > 0, F.regexp_count(c, quoted)).otherwise(0)
 
 
 def query_terms(q: Column) -> Column:

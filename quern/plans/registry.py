@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import chunking, orphans, vector
+from quern.operators import answer, chunking, evaluate, guard, library, orphans, retrieve, vector
 from quern.plans import relational, scalar
+from quern.streaming import sync
 
-_MODULES = [orphans, scalar, relational, chunking, vector]
+_MODULES = [orphans, scalar, relational, chunking, vector, retrieve, guard, answer, evaluate, library, sync]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
