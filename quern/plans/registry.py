@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    return queries()["p1_report"](spark, d)
+    return queries()["v15_hybrid_search"](spark, d)

@@ -165,7 +165,7 @@ _SNAP = """with b as (select doc_id, rel_path, mtime, file_size size, case when
 SQL = {
     "r2_decisions": _SNAP + " select decision, count(*) as n from j group by 1",
     "r4_sync_plan": _SNAP + " select rel_path, 'upsert' as action, decision as reason from j where decision not in ('unchanged', 'mtime-rewound') union all select rel_path, 'delete', 'vanished' from b where rel_path not in (select rel_path from c)",
-    "r9_tumbling": "select (epoch(ts)::bigint // 3600) * 3600 as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "r9_tumbling": "select (epoch_us(ts) // 3600000000) * 3600 as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "r9_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over w >= interval 30 minutes or lag(ts) over w is null then 1 else 0 end f from events window w as (partition by user_id order by ts, event_id)), s as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) k from g)
  select epoch_us(min(ts)) as start, user_id, count(*) as n from s group by user_id, k""",
 }
