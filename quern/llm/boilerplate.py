@@ -35,9 +35,9 @@ from quern.llm.tree import DecisionTree
 from quern.session import table
 
 #: Pages of the labelled table the tree is trained on (the bound of the sample).
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1500
 #: Share of the known phrases that is hidden in half of the training pages.
-HIDDEN = 0.3
+HIDDEN = 0.15
 #: A line is furniture if at least this share of its leaf is: losing text of the article is the worse error.
 CUT = 0.8
 
@@ -88,7 +88,7 @@ class PageModel:
         phrases = L.furniture_phrases()
         self.kinds: dict[str, set[str]] = {}
         for kind, own in phrases.items():
-            for p in own:
+            for p in sorted(own):
                 for part in [p, *_PARTS.split(p)]:
                     self.kinds.setdefault(plain(part), set()).add(kind)
         self.related = {plain(p) for p in phrases["related"]}
@@ -100,7 +100,7 @@ class PageModel:
         whole, rng = self.kinds, random.Random(11)
         for k, page in enumerate(labelled):
             # In half of the pages a share of the phrases is taken for unknown, so that the tree learns form and neighbours too.
-            self.kinds = whole if k % 2 else {p: kinds for p, kinds in whole.items() if rng.random() > HIDDEN}
+            self.kinds = whole if k % 2 else {p: whole[p] for p in sorted(whole) if rng.random() > HIDDEN}
             self._line = self._judge_line
             f, at = self.features([t for t, _ in page])
             x.append(f)
@@ -108,13 +108,23 @@ class PageModel:
         self.kinds, self._line = whole, lru_cache(maxsize=40_000)(self._judge_line)
         self.tree = DecisionTree(depth=8, leaf=60).fit(np.concatenate(x), np.array(y))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_line"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._line = lru_cache(maxsize=40_000)(self._judge_line)
+
     def _word_odds(self, labelled: list[list[tuple[str, int]]]) -> dict[str, float]:
-        count = [Counter(), Counter()]
-        for page in labelled:
-            for text, label in page:
-                if label >= 0:
-                    count[label].update(set(tokens(_LINK.sub(r"\1", text)[:300])))
-        n = [sum(c.values()) + 1.0 for c in count]
+        # Furniture speaks through its own phrases; titles in its lists of other pages are not its words.
+        count, n = [Counter(), Counter()], [1.0, 1.0]
+        for phrase in (p for own in L.furniture_phrases().values() for p in own):
+            count[1].update(set(tokens(phrase)))
+            n[1] += 1
+        for text, label in (x for page in labelled for x in page):
+            if label == 0:
+                count[0].update(set(tokens(_LINK.sub(r"\1", text)[:300])))
+                n[0] += 1
         odds = {w: math.log((count[1][w] + 0.5) / n[1]) - math.log((count[0][w] + 0.5) / n[0]) for w in count[1]}
         # Only what speaks for furniture counts: articles are about anything, and words never seen must not speak either way.
         return {w: v for w, v in odds.items() if v > 0}
@@ -208,6 +218,8 @@ class PageModel:
             related[k], source[k] = live, src
             if live:
                 since[k] = k - head
+        # A block under the name of a list of other pages is known by it.
+        b_known = np.maximum(b_known, np.maximum.reduceat(related, starts))
         top = np.cumsum([lines[i].startswith("# ") for i in at]) > 0
         place = np.arange(n) / max(1, n - 1)
         f = np.column_stack(
@@ -264,7 +276,7 @@ _MODEL: list[PageModel] = []
 
 
 def model() -> PageModel:
-    """The process's model; training takes some seconds and gives the same tree everywhere."""
+    """The model, trained once on the driver; its size depends on the labelled table alone."""
     if not _MODEL:
         _MODEL.append(PageModel())
     return _MODEL[0]
@@ -273,8 +285,10 @@ def model() -> PageModel:
 def furniture_lines(pages: DataFrame) -> DataFrame:
     """``conv_id, line_no`` of furniture of ``conv_id, markdown, titles`` (array); line 0 if some title holds more than the own one."""
 
+    held = pages.sparkSession.sparkContext.broadcast(model())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model()
+        m = held.value
         for b in batches:
             ids, numbers = [], []
             for i, text, titles in zip(*[c.to_pylist() for c in b.columns]):
@@ -292,8 +306,10 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
 def main_content(pages: DataFrame) -> DataFrame:
     """``conv_id, content`` of ``conv_id, markdown``: the article's own lines, blank lines next to each other as one."""
 
+    held = pages.sparkSession.sparkContext.broadcast(model())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model()
+        m = held.value
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():

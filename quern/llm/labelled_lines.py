@@ -160,7 +160,16 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
     pick = lambda s: rng.choice(s.split("|"))
     site = ("".join(rng.choice(["Tor", "Har", "Sol", "Kes"]) + rng.choice(["mir", "el", "wex"])) + " " + rng.choice(SITE_WORDS.split("|")[:4])) if site_lang != "zh" or rng.random() < 0.2 else rng.choice("溪岚霞槐") + rng.choice("砚泽川禾") + rng.choice(SITE_WORDS.split("|")[4:8])
     term = lambda: pick(art["terms"])
-    title = lambda: pick(art["title"]).replace("{t}", term())
+
+    def title() -> str:
+        """A title; some have words that furniture has as well."""
+        own = pick(art["title"]).replace("{t}", term())
+        if rng.random() < 0.5:
+            return own
+        other = rng.choice(words(SHORT[rng.choice(["tools", "share", "news", "end", "related"])], lang))
+        some = rng.choice(other.split()).lower() if lang != "zh" else other[:2]
+        return f"{own}{'' if lang == 'zh' else ' '}{some}"
+
     def sentence() -> str:
         """An article's sentence; many use words that furniture has as well, in a longer sentence."""
         plain = lambda: pick(art["text"]).replace("{t}", term())
@@ -242,7 +251,8 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
         elif kind < 0.7:
             add([f"- {sentence()}" if rng.random() < 0.5 else f"{i + 1}. {sentence()}" for i in range(rng.randint(2, 5))], 0)
         elif kind < 0.8:
-            add([f"| {term()} | mm | 41.2 |", "|---|---|---|", *[f"| {term()} | mm | {rng.randrange(99)} |" for _ in range(rng.randint(2, 6))]], 0)
+            cell = lambda: term() if rng.random() < 0.6 else f"{term()} {rng.choice(rng.choice(words(SHORT[rng.choice(['end', 'share', 'consent'])], lang)).split()).lower()}"
+            add([f"| {term()} | mm | 41.2 |", "|---|---|---|", *[f"| {cell()} | mm | {rng.randrange(99)} |" for _ in range(rng.randint(2, 6))]], 0)
         elif kind < 0.9:
             add([f"> {sentence()}"], 0)
         else:
