@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _JOIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def points_of(text: str) -> np.ndarray:
@@ -30,7 +30,7 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     left = k
     while True:
         if left & 1:
-            part = level[covered : covered + n] if out is None else level[covered : covered + n] + out * _ODD
+            part = level[covered : covered + n] if out is None else level[covered : covered + n] + out * _JOIN
             out, covered = part, covered + size
         left >>= 1
         if not left:
