@@ -186,13 +186,15 @@ def test_no_records(spark):
 def test_signatures_estimate_similarity():
     rng = random.Random(4)
     for _ in range(20):
-        a = prose(rng, 80)
+        a = N.normal(prose(rng, 80))
         w = a.split(" ")
         w[3] = "zzz"
-        ga, gb = N.grams(N.normal(a)), N.grams(N.normal(" ".join(w)))
-        ea, eb = N.signature(ga)[0], N.signature(gb)[0]
-        assert N.jaccard(ga, gb) > 0.9 and (ea == eb).sum() >= 8
-        assert (ea == N.signature(N.grams(prose(rng, 80)))[0]).sum() <= 2
+        b, other = " ".join(w), N.normal(prose(rng, 80))
+        sizes, e, _ = N.signatures([a, b, other, a])
+        assert N.jaccard(N.grams(a), N.grams(b)) > 0.9 and (e[0] == e[1]).sum() >= 8
+        assert (e[0] == e[2]).sum() <= 2 and (e[0] == e[3]).all()
+        assert sizes.tolist() == [len(grams_of(x)) for x in (a, b, other, a)]
+    assert [x.shape for x in N.signatures(["a" * 300])] == [(1,), (1, 2 * N.BINS // N.ROWS), (1,)]
 
 
 TRAIN = [
