@@ -111,7 +111,8 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     anchors = write_once(docs.mapInArrow(_anchor_batches, "doc_id long, h long, place int, first int, last int"), "anchors")
     several = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("_refs"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
-    hits = lookup(anchors, several.select("h", "_refs", (F.col("_refs") > HEAVY).alias("heavy")), "h").where("heavy is not null")
+    several = write_once(several.select("h", "_refs", (F.col("_refs") > HEAVY).alias("heavy")), "several")
+    hits = lookup(anchors, several, "h").where("heavy is not null")
     per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h", "place", "first", "last", "heavy")).alias("a"))  # bounded by the record's length
     stretch = f"transform(a, x -> struct(x.h as h, x.place as place, x.heavy as heavy, x.first as first, substring(text, x.first + 1, x.last - x.first + {SPAN}) as stretch))"
     cut = docs.join(per_doc, "doc_id").select("doc_id", F.explode(F.expr(stretch)).alias("s")).select("doc_id", "s.*")
@@ -119,9 +120,10 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     distinct = stretches.groupBy("h", "heavy", "stretch_id").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.first("stretch").alias("stretch"), F.min("place").alias("place"))
     owned = distinct.withColumn("owner", F.when(F.col("_a") < F.col("_b"), F.lit(FMIndex.MANY)).otherwise(F.col("_a")))
     found = _divide(owned).repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_search, "stretch_id long, from_w int, to_w int")
-    windows = write_once(found.groupBy("stretch_id").agg(F.collect_set(F.struct("from_w", "to_w")).alias("w")), "windows")  # bounded by the stretch's length
+    windows = found.groupBy("stretch_id").agg(F.collect_set(F.struct("from_w", "to_w")).alias("w"))  # bounded by the stretch's length
     members = stretches.groupBy("stretch_id").agg(F.count(F.lit(1)).alias("_refs"))
-    spans = lookup(stretches.select("doc_id", "first", "stretch_id"), windows.join(members, "stretch_id"), "stretch_id").where("w is not null")
+    facts = write_once(windows.join(members, "stretch_id"), "facts")
+    spans = lookup(stretches.select("doc_id", "first", "stretch_id"), facts, "stretch_id").where("w is not null")
     each = spans.select("doc_id", F.explode("w").alias("w"), "first").select("doc_id", (F.col("first") + F.col("w.from_w")).alias("a"), (F.col("first") + F.col("w.to_w") + SPAN).alias("b"))
     w = W.partitionBy("doc_id").orderBy("a", "b")
     begins = F.when(F.col("a") > F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)
