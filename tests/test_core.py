@@ -307,3 +307,17 @@ def test_late_events_are_dropped(spark, tmp_path):
         q.awaitTermination()
     got = sorted((str(r.start), r.n) for r in spark.read.parquet(out).collect())
     assert got[0] == ("2024-01-01 00:00:00", 1)
+
+
+def test_streamed_changes_equal_the_batch_decision(spark, tmp_path):
+    """Keyed state sees the same versions in the same order and decides alike."""
+    cols = "rel_path string, mtime double, size long, prefix string"
+    ticks = [[("a", 100.0, 5, "p"), ("b", 100.0, 5, "")], [("a", 200.0, 5, "p"), ("b", 100.0, 5, "q")], [("a", 200.0, 6, "p"), ("b", 100.0, 5, "q"), ("c", 1.0, 1, "z")]]
+    src, seen = tmp_path / "in", []
+    for rows in ticks:
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(src))
+        q = sync.detect_changes(spark.readStream.schema(cols).parquet(str(src))).writeStream.foreachBatch(lambda df, b: seen.append({r.rel_path: r.decision for r in df.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert seen[0] == {"a": "new", "b": "new"}
+    assert {"a": "mtime-advanced", "b": "baseline-missing"} in seen
+    assert {"a": "size-changed", "b": "unchanged", "c": "new"} in seen
