@@ -247,7 +247,9 @@ def invert(run: str, pairs: PairTable, left: str = "", right: str = "") -> str |
         for read, was in MIXED:
             data = [_TO_BYTE[read].get(c) for c in codes]
             if None not in data:
-                offer(bytes(data).decode(was, "replace"), 0.95)  # type: ignore[arg-type]
+                text = bytes(data).decode(was, "replace")  # type: ignore[arg-type]
+                if not (run.istitle() and len(run) == 1 and text.isalpha() and not left.islower()):  # a capital may begin a word
+                    offer(text, 0.95)
     return best
 
 
