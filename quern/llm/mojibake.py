@@ -248,7 +248,9 @@ def invert(run: str, pairs: PairTable, left: str = "", right: str = "") -> str |
             data = [_TO_BYTE[read].get(c) for c in codes]
             if None not in data:
                 text = bytes(data).decode(was, "replace")  # type: ignore[arg-type]
-                if not (run.istitle() and len(run) == 1 and text.isalpha() and not left.islower()):  # a capital may begin a word
+                # A capital that begins a word is natural, whatever letter it could be instead.
+                changed = [(a, b, c) for a, b, c in zip(left[-1:].rjust(1) + run, run, text) if b != c]
+                if not all(b.isupper() and c.isalpha() and not a.isalpha() for a, b, c in changed):
                     offer(text, 0.95)
     return best
 
