@@ -48,6 +48,8 @@ _PARTS = re.compile(r"\s*[·|»]\s*|\s+[>/–]\s+|\s{2,}|(?<=[.。])\s*(?=\S)|\]
 _WORD = re.compile(r"[^\W\d_]+|©|↑")
 _CJK = re.compile("[㐀-鿿]")
 _END = re.compile(r"[.。!?！？;；”»\"]\s*$")
+_DIGITS = re.compile(r"\d+")
+_COLON = re.compile(r"\s*([^:：\d]{2,24}?)\s?[:：]\s*")
 _YEAR = re.compile(r"\b(?:19|20)\d\d\b")
 #: Signs that text may be garbled; only such lines are repaired before they are judged.
 _STRANGE = re.compile("[ÂÃâ√Γ├┬âÐÑВГ锛鈥銆鍏鐨闃Ã][^ a-zà-ü]|[¡-ÿ]{4,}|鈥|锛|銆|茅|[\u0080-\u009f]")
@@ -62,19 +64,21 @@ FEATURES = [
 
 def count_words(text: str) -> float:
     """Words; two Chinese characters count as one."""
-    cjk = len(_CJK.findall(text))
-    return cjk / 2 + len(_WORD.findall(_CJK.sub(" ", text)))
+    if text.isascii():
+        return float(len(_WORD.findall(text)))
+    rest, cjk = _CJK.subn(" ", text)
+    return cjk / 2 + len(_WORD.findall(rest))
 
 
 def plain(part: str) -> str:
     """A part of a line as it is compared: digits as 0, without marks around it."""
-    return re.sub(r"\d+", "0", part).strip(" *:：[]").casefold()
+    return _DIGITS.sub("0", part).strip(" *:：[]").casefold()
 
 
 def tokens(text: str) -> list[str]:
     out = []
     for w in _WORD.findall(text.casefold()):
-        if _CJK.search(w):
+        if not w.isascii() and _CJK.search(w):
             out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
         else:
             out.append(w)
@@ -94,6 +98,7 @@ class PageModel:
         self.related = {plain(p) for p in phrases["related"]}
         self.sources = {plain(w) for a in L.ARTICLE.values() for w in a["sources"].split("|")}
         self.sites = tuple(L.SITE_WORDS.split("|"))
+        self.site_ends = tuple(w.casefold() for w in self.sites)
         labelled = L.training_pages(pages)
         self._odds = self._word_odds(labelled)
         x, y = [], []
@@ -137,9 +142,9 @@ class PageModel:
         buttons = _BUTTON.findall(body)
         parts = [p for p in (plain(p) for p in (buttons if buttons and len(buttons) > 1 else _PARTS.split(body.strip("| ")))) if p]
         whole = plain(body)
-        hits = [p in self.kinds or p.endswith(tuple(w.casefold() for w in self.sites)) for p in parts]
+        hits = [p in self.kinds or p.endswith(self.site_ends) for p in parts]
         known = 1.0 if whole in self.kinds else (sum(hits) / len(hits) if hits else 0.0)
-        colon = re.match(r"\s*([^:：\d]{2,24}?)\s?[:：]", body)
+        colon = _COLON.match(body)
         lead = plain(colon.group(1)) if colon else ""
         kinds = self.kinds.get(lead, set())
         if colon and kinds & {"tags", "read", "related", "end"}:
