@@ -349,7 +349,9 @@ SQL = {
     "a4_chunks_by_parent": "select lower(trim(parent_id)) as parent, count(distinct chunk_id) as n, max(char_len) as longest, arg_min(chunk_id, (coalesce(indexed_at, timestamp '1000-01-01'), chunk_id)) as first_chunk from chunk_metadata where parent_id is not null group by 1",
     "a5_term_frequency": "with w as (select unnest(regexp_extract_all(lower(title), '[a-z][a-z0-9]{2,}')) w from documents) select w, count(*) as n from w group by 1 having count(*) >= 2",
     "a8_categories": "with g as (select distinct id, category, expected.answer_state a from core_gold) select category, count(*) as n, count(*) filter (a = 'answered') as answered from g group by rollup (category)",
-    "a9_confusion": None,
+    "a9_confusion": """with c as (select lower(lang) lang, coalesce(text, '') t, len(regexp_extract_all(coalesce(text, ''), '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]')) k, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9_+#.\\-]{2,}')) w from documents where lang is not null),
+ x as (select starts_with(lang, 'zh') y, trim(regexp_replace(t, '\\s', ' ', 'g')) <> '' and (k >= 20 and k >= w * 2 or not (w >= 10 and k < w) and not (k > 0 and w > 0) and k > 0) p from c), n as (select count(*) filter (p and y) tp, count(*) filter (p and not y) fp, count(*) filter (not p and y) fn from x)
+ select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall from n""",
     "a12_folders": "select split_part(rel_path, '/', 1) as folder, count(*) as n, sum(file_size)::bigint as bytes from documents group by 1",
     "a13_failures": "select case when ok then 'ok' when coalesce(markdown, '') = '' then 'empty' else 'other' end as class, kind, count(*) as n from conversion_results group by all",
     "a14_percentiles": "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1",

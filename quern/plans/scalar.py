@@ -185,7 +185,7 @@ SQL = {
     "x16_redacted": """with r as (select doc_id, left(doc_key, (doc_id % 12)::int) v from documents), s as (select doc_id, case when v = '' then '' when length(v) <= 4 then '<redacted>' when length(v) > 7 then left(v, 3) || '****' || right(v, 4) else '****' || right(v, 4) end as shown from r)
  select doc_id, shown, contains(shown, '<redacted>') or contains(shown, '****') and length(shown) < 40 as masked from s""",
     "x19_display_source": f"select doc_id, coalesce({_meta('source_file')}, nullif(trim(title), ''), regexp_extract(rel_path, '[^/]*$', 0)) as source_name from documents",
-    "x20_prefix_hashes": None,
+    "x20_prefix_hashes": "with h as (select doc_id, lower(sha1) s, sha1(unhex(left(hex(encode(text)), 8192))) p from documents where text is not null) select doc_id, p as prefix_hash, s = p as agrees from h",
     "x25_months": "select strftime(indexed_at, '%Y-%m') as month, count(*) as n from documents group by 1",
     "x26_json_fields": "select event_type, sum((props::json->>'k')::int) as total, min('{\"k\":' || (props::json->>'k') || '}') as least from events group by 1",
     "x27_sizes": "select doc_id, case when file_size < 1024 then file_size || ' B' when file_size < 1048576 then printf('%.1f KB', file_size / 1024.0) else printf('%.1f MB', file_size / 1048576.0) end as size from documents",
