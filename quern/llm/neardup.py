@@ -10,9 +10,9 @@ of two texts, lower-cased and with runs of white space as one space.
 2. Records with an identical prefix and the same number of grams are one group,
    combined on the map side; copies thus cost one group however many there are.
 3. Groups that share an element of their prefix are paired. A pair is filtered by
-   size and by 64 bits of the signature. An element that more than ``CROWD``
-   groups share is replaced by its combinations with the groups' other elements,
-   so that only groups with two in common meet there.
+   size and by 64 bits of the signature. The groups of an element that more than
+   ``CROWD`` share are dealt into blocks of about ``BLOCK``, and each block meets
+   each other one in a task of its own, so none of their pairs is left out.
 4. Pairs are expanded to classes of equal texts, and each pair of classes is
    verified by the exact coefficient.
 
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.textarrays import gram_hashes, mix, points_of
+from quern.operators.skew import lookup
 from quern.session import table, write_once
 
 GRAM = 5
@@ -44,8 +45,8 @@ MIN_CHARS = 200
 BINS, ROWS = 140, 7
 #: Bits of 64 that the small signatures of a pair must share; at the threshold 56 are expected, with a deviation of 2.6.
 BITS = 45
-#: Groups that may share an element before it is refined.
-CROWD = 300
+#: Groups that may share an element before they are dealt into blocks, and groups of a block.
+CROWD, BLOCK = 300, 2000
 #: Bits of a gram's hash that are sorted beside its text's number.
 HASH_BITS = 44
 #: Pairs of members written out for a pair of classes.
@@ -165,12 +166,12 @@ def _meet(key: np.ndarray, group: np.ndarray, size: np.ndarray, bits: np.ndarray
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
 
-def _pairs(refine: bool):  # noqa: ANN202
-    """Rows ``key, grp, size, bits`` sorted by key to pairs; crowds come back as ``a`` = key, ``b`` = group, ``crowd``."""
+def _pairs(most: int):  # noqa: ANN202
+    """Rows ``key, grp, size, bits`` sorted by key to pairs ``a, b``; crowds of over ``most`` come back as ``a`` = key, ``b`` = group with ``size, bits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(a: np.ndarray, b: np.ndarray, crowd: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowd))], ["a", "b", "crowd"])
+        def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(rows[3]), pa.array(np.full(len(rows[0]), True))], ["a", "b", "size", "bits", "crowd"])
 
         held = [np.zeros(0, np.int64) for _ in range(4)]
         crowded = None
@@ -179,7 +180,7 @@ def _pairs(refine: bool):  # noqa: ANN202
             if crowded is not None:  # a crowd goes on: pass its rows through
                 same = int(np.searchsorted(cols[0], crowded, side="right"))
                 if same:
-                    yield emit(cols[0][:same], cols[1][:same], True)
+                    yield emit([c[:same] for c in cols])
                     cols = [c[same:] for c in cols]
                 if len(cols[0]):
                     crowded = None
@@ -188,33 +189,81 @@ def _pairs(refine: bool):  # noqa: ANN202
             if not len(key):
                 continue
             tail = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if refine and len(key) - tail > CROWD:
-                yield emit(key[tail:], held[1][tail:], True)
+            if len(key) - tail > most:
+                yield emit([h[tail:] for h in held])
                 crowded, cut = key[-1], tail
                 rest = [h[:0] for h in held]
             else:
                 cut, rest = tail, [h[tail:] for h in held]
-            yield from _runs([h[:cut] for h in held], refine, emit)
+            yield from _runs([h[:cut] for h in held], most, emit)
             held = rest
-        yield from _runs(held, refine, emit)
+        yield from _runs(held, most, emit)
 
     return run
 
 
-def _runs(rows: list[np.ndarray], refine: bool, emit) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+def _runs(rows: list[np.ndarray], most: int, emit) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     key = rows[0]
     if not len(key):
         return
-    if refine:
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(start, len(key)))
-        big = np.repeat(n > CROWD, n)
-        if big.any():
-            yield emit(key[big], rows[1][big], True)
-            rows = [r[~big] for r in rows]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(start, len(key)))
+    big = np.repeat(n > most, n)
+    if big.any():
+        yield emit([r[big] for r in rows])
+        rows = [r[~big] for r in rows]
     a, b = _meet(*rows)
     for i in range(0, len(a), 100_000):
-        yield emit(a[i : i + 100_000], b[i : i + 100_000], False)
+        x, y = a[i : i + 100_000], b[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int64()), pa.array(np.full(len(x), False))], ["a", "b", "size", "bits", "crowd"])
+
+
+def _across(group: np.ndarray, size: np.ndarray, bits: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of groups of side 0 with those of side 1 that pass the filters."""
+    other = np.flatnonzero(side == 1)
+    other = other[np.argsort(size[other], kind="stable")]
+    g, s, b = group[other], size[other], bits[other]
+    for i in np.flatnonzero(side == 0):
+        lo, hi = np.searchsorted(s, np.ceil(THRESHOLD * size[i])), np.searchsorted(s, size[i] / THRESHOLD, side="right")
+        ok = np.bitwise_count(~(b[lo:hi] ^ bits[i]).view(np.uint64)) >= BITS
+        near = g[lo:hi][ok]
+        yield np.minimum(near, group[i]), np.maximum(near, group[i])
+
+
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``part, grp, size, bits, side`` sorted by part to pairs ``a, b``: of its two sides, or of all its rows if it has one."""
+
+    def flush(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at in np.split(np.arange(len(rows[0])), np.flatnonzero(np.diff(rows[0])) + 1) if len(rows[0]) else []:
+            part, group, size, bits, side = [r[at] for r in rows]
+            met, n = [], 0
+            for a, b in _across(group, size, bits, side) if side.any() else [_meet(part, group, size, bits)]:
+                met.append((a, b))
+                n += len(a)
+                if n >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*met)], ["a", "b"])
+                    met, n = [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*met)], ["a", "b"])
+
+    held = [np.zeros(0, np.int64) for _ in range(5)]
+    for batch in batches:
+        held = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns)]
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last part may go on
+        yield from flush([h[:cut] for h in held])
+        held = [h[cut:] for h in held]
+    yield from flush(held)
+
+
+def crowd_pairs(crowd: DataFrame) -> DataFrame:
+    """All pairs ``a, b`` of groups with equal keys that pass the filters (rows ``key, grp, size, bits``), block by block."""
+    n = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("_refs"))
+    sized = lookup(crowd, n.withColumn("blocks", F.ceil(F.col("_refs") / F.lit(BLOCK)).cast("int")), "key")
+    own = sized.withColumn("own", F.pmod(F.xxhash64("grp"), F.col("blocks")).cast("int"))
+    each = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part")
+    rows = each.select(part, "grp", "size", "bits", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_squares, "a long, b long")
 
 
 def sketches(records: DataFrame) -> DataFrame:
@@ -227,13 +276,9 @@ def group_pairs(sk: DataFrame) -> DataFrame:
     """Pairs of groups that share an element and pass the filters: ``a, b``."""
     groups = sk.groupBy("grp").agg(F.first("src_table").alias("src_table"), F.first("size").alias("size"), F.first("elements").alias("elements"), F.first("bits").alias("bits"))
     rows = groups.select(F.explode("elements").alias("e"), "src_table", "grp", "size", "bits").select(F.xxhash64("src_table", "e").alias("key"), "grp", "size", "bits")
-    met = write_once(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(True), "a long, b long, crowd boolean"), "met")
-    crowd = met.where("crowd").groupBy("b").agg(F.collect_set("a").alias("keys"))  # at most one key per element
-    again = sk.select("grp", "src_table", "size", "bits", "elements").dropDuplicates(["grp"]).join(crowd, F.col("grp") == F.col("b"))
-    both = F.expr("explode(flatten(transform(keys, k -> transform(filter(elements, e -> xxhash64(src_table, e) != k), e -> xxhash64(least(k, xxhash64(src_table, e)), greatest(k, xxhash64(src_table, e)))))))")
-    finer = again.select(both.alias("key"), "grp", "size", "bits").distinct()
-    more = finer.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(False), "a long, b long, crowd boolean")
-    return met.where("not crowd").unionByName(more).select("a", "b").distinct()
+    met = write_once(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(CROWD), "a long, b long, size int, bits long, crowd boolean"), "met")
+    more = crowd_pairs(met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("grp"), "size", "bits"))
+    return met.where("not crowd").select("a", "b").unionByName(more).distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

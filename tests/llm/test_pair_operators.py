@@ -164,6 +164,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowd):
     assert got == brute_pairs(rows)
 
 
+@pytest.mark.parametrize("block", [2000, 50])
+def test_crowded_element_alone_pairs_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block, raising=False)
+    # Groups share element 7 and no other; every third is too large, one differs in its bits, ten share another element.
+    rows = [(g, "t", 900 if g % 3 == 0 else 300, [7, *range(100 * g, 100 * g + 5)], -1 if g == 1 else 0) for g in range(1, N.CROWD + 30)] + [(g, "t", 300, [8, 100 * g], 0) for g in range(800, 810)]
+    sk = spark.createDataFrame(rows, "grp long, src_table string, size int, elements array<long>, bits long")
+    got = [tuple(r) for r in N.group_pairs(sk).collect()]
+    want = {(a[0], b[0]) for a, b in combinations(rows, 2) if a[2:3] + a[4:] == b[2:3] + b[4:] and a[3][0] == b[3][0]}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_hot_copies_are_linked_through_one(spark, monkeypatch):
     monkeypatch.setattr(N, "EXPAND", 50)
     rng = random.Random(2)
