@@ -84,6 +84,8 @@ class PairTable:
 
     def __init__(self, logs: np.ndarray, total: float) -> None:
         self.logs, self.total = logs, max(total, 1.0)
+        #: Verdicts by this table on runs with their neighbours.
+        self.memo: dict[tuple[str, str, str], str | None] = {}
 
     def log_count(self, cell: np.ndarray) -> np.ndarray:
         v = self.logs[cell].astype(np.float32)
@@ -261,17 +263,14 @@ def _pieces(run: str) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
-_MEMO: dict[tuple[str, str, str], str | None] = {}
-
-
 def _remembered(run: str, pairs: PairTable, left: str, right: str) -> str | None:
     """``invert``, but runs that come again, as site furniture does, are tested once."""
     key = (left, run, right)
-    if key not in _MEMO:
-        if len(_MEMO) > 50_000:
-            _MEMO.clear()
-        _MEMO[key] = invert(run, pairs, left, right)
-    return _MEMO[key]
+    if key not in pairs.memo:
+        if len(pairs.memo) > 50_000:
+            pairs.memo.clear()
+        pairs.memo[key] = invert(run, pairs, left, right)
+    return pairs.memo[key]
 
 
 def repair(text: str | None, pairs: PairTable) -> tuple[bool, str | None]:

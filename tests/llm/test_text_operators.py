@@ -144,6 +144,18 @@ def test_maximal_segments(values):
         assert all(v[k:b].sum() > 0 for k in range(a, b))
 
 
+def test_verdicts_belong_to_their_table(pairs):
+    nothing = M.PairTable(np.zeros(M.CELLS, np.uint8), 1e9)
+    proved = 0
+    for word in ("水位", "记录", "裂缝", "编号"):
+        bad = word.encode("gb18030").decode("latin-1")
+        alone, known = M.invert(bad, nothing, "", ""), M.invert(bad, pairs, "", "")
+        proved += alone is None and known == word
+        assert M._remembered(bad, nothing, "", "") == alone
+        assert M._remembered(bad, pairs, "", "") == known
+    assert proved
+
+
 def test_garbled_rows(spark):
     docs = spark.createDataFrame([(t, "x") for t in CORPUS] + [(None, None), ("", "")], "text string, cell string")
     table = M.pair_table(docs)
