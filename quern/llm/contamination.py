@@ -15,9 +15,10 @@
 
 Defined results: null and blank questions ask nothing and are in no pair; rows with
 a null split or id are in none. Rows repeated whole count once. An evaluation
-question may meet any number of training questions. Pairs of classes with more than
-``EXPAND`` pairs of ids give each id its pair with the other class's first id.
-Other columns are ignored.
+question may meet any number of training questions. All pairs of ids are returned
+unless two texts, exactly as stored, have more than ``EXPAND`` of them: then each id
+is paired with the other text's first id. Counts are of all pairs. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +46,10 @@ SLIP_RATIO = 12
 RARE_CHARACTER = 0.01
 #: Segments of the code, and bits in which codes may differ.
 BLOCKS, RADIUS = 8, 5
-#: Pairs of ids written out for a pair of classes.
+#: Pairs of ids written out for a pair of stored texts.
 EXPAND = 10_000
+#: Members of a class in a block, of which pairs of ids are made.
+BLOCK = 100
 
 # Words of courtesy, which may stand before or within a question.
 COURTESY = re.compile(
@@ -242,7 +245,7 @@ def _segments() -> list[tuple[int, int]]:
 
 
 def coded(questions: DataFrame, lex: Lexicon) -> DataFrame:
-    """``id, side, split, source, key, code, tokens, raw`` of questions that ask something."""
+    """``id, side, split, source, text, key, code, tokens, raw`` of questions that ask something; ``text`` is a hash."""
     held = questions.sparkSession.sparkContext.broadcast((lex.counts, lex.total))
     lexicons: list[Lexicon] = []
 
@@ -264,14 +267,14 @@ def coded(questions: DataFrame, lex: Lexicon) -> DataFrame:
                     raw.append(r)
             kept = b.take(pa.array(at, pa.int64()))
             code = pa.array(np.array(codes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(keys, pa.binary()), code, pa.array(toks, pa.list_(pa.string())), pa.array(raw, pa.list_(pa.string()))], ["id", "side", "split", "source", "key", "code", "tokens", "raw"])
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(keys, pa.binary()), code, pa.array(toks, pa.list_(pa.string())), pa.array(raw, pa.list_(pa.string()))], ["id", "side", "split", "source", "text", "key", "code", "tokens", "raw"])
 
-    cols = questions.select("id", "side", "split", "source", "query")
-    return cols.mapInArrow(run, "id string, side string, split string, source string, key binary, code long, tokens array<string>, raw array<string>")
+    cols = questions.select("id", "side", "split", "source", F.xxhash64("query").alias("text"), "query")
+    return cols.mapInArrow(run, "id string, side string, split string, source string, text long, key binary, code long, tokens array<string>, raw array<string>")
 
 
 def overlaps(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (``side, key, id, split, source``) and verified pairs of classes (``train_key, eval_key``).
+    """Members (``side, key, text, id, split, source``) and verified pairs of classes (``train_key, eval_key``).
 
     ``questions`` has ``id, side`` (train or eval), ``split, source, query``.
     """
@@ -302,17 +305,44 @@ def overlaps(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     checked = full.select("train_key", "eval_key", "train_tokens", "eval_tokens").mapInArrow(verify, "train_key binary, eval_key binary")
-    return rows.select("side", "key", "id", "split", "source").distinct(), write_once(checked, "overlaps")
+    return rows.select("side", "key", "text", "id", "split", "source").distinct(), write_once(checked, "overlaps")
 
 
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of ids with the evaluation side's split and source: ``train_id, eval_id, split, source``."""
-    sizes = members.groupBy("side", "key").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
-    m = members.join(sizes, ["side", "key"])
-    train = m.where("side = 'train'").select(F.col("key").alias("train_key"), F.col("id").alias("train_id"), F.col("n").alias("n_t"), (F.col("id") == F.col("first")).alias("f_t"))
-    other = m.where("side = 'eval'").select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id"), "split", "source", F.col("n").alias("n_e"), (F.col("id") == F.col("first")).alias("f_e"))
+    """Pairs of ids with the evaluation side's split and source: ``train_id, eval_id, split, source``.
+
+    All pairs, but where two texts, exactly as stored, have more than ``EXPAND``
+    of them: then each copy is paired with the other text's first id only.
+    """
+    copies = members.groupBy("side", "key", "text").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
+    sizes = members.groupBy("side", "key").agg(F.ceil(F.count_distinct("id") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    m = members.join(copies, ["side", "key", "text"]).join(sizes, ["side", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    train = m.where("side = 'train'").select(F.col("key").alias("train_key"), F.col("block").alias("b_t"), F.col("id").alias("train_id"), F.col("n").alias("n_t"), (F.col("id") == F.col("first")).alias("f_t"))
+    other = m.where("side = 'eval'").select(F.col("key").alias("eval_key"), F.col("block").alias("b_e"), F.col("id").alias("eval_id"), "split", "source", F.col("n").alias("n_e"), (F.col("id") == F.col("first")).alias("f_e"))
+    side = lambda s, b: sizes.where(F.col("side") == s).select(F.col("key").alias(f"{s}_key"), F.col("blocks").alias(b))
+    # Blocks of members meet, so that no task takes all pairs of a hot question.
+    met = pairs.select("train_key", "eval_key").distinct().join(side("train", "t"), "train_key").join(side("eval", "e"), "eval_key")
+    met = met.withColumn("b_t", F.explode(F.expr("sequence(0, t - 1)"))).withColumn("b_e", F.explode(F.expr("sequence(0, e - 1)")))
     few = (F.col("n_t") * F.col("n_e") <= EXPAND) | F.col("f_t") | F.col("f_e")
-    return pairs.join(train, "train_key").join(other, "eval_key").where(few).select("train_id", "eval_id", "split", "source").distinct()
+    return met.join(train, ["train_key", "b_t"]).join(other, ["eval_key", "b_e"]).where(few).select("train_id", "eval_id", "split", "source").distinct()
+
+
+def counted(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per split and source the questions that overlap and all their pairs, which are not written out: ``split, source, overlapping, pairs``."""
+    keys = members.groupBy("side", "id").agg(F.count_distinct("key").alias("n_keys"))
+    m = members.drop("text").distinct().join(keys, ["side", "id"]).withColumn("once", F.col("n_keys") == 1)
+    train = m.where("side = 'train'").select(F.col("key").alias("train_key"), F.col("id").alias("train_id"), F.col("once").alias("o_t")).distinct()
+    other = m.where("side = 'eval'").select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id"), "split", "source", F.col("once").alias("o_e")).distinct()
+    linked = pairs.select("train_key", "eval_key").distinct()
+    hit = other.join(linked.select("eval_key").distinct(), "eval_key").groupBy("split", "source").agg(F.count_distinct("eval_id").alias("overlapping"), F.lit(0).cast("long").alias("pairs"))
+    n_t = train.where("o_t").groupBy("train_key").agg(F.count(F.lit(1)).alias("n_t"))
+    n_e = other.where("o_e").groupBy("eval_key", "split", "source").agg(F.count(F.lit(1)).alias("n_e"))
+    plain = linked.join(n_t, "train_key").join(n_e, "eval_key").groupBy("split", "source").agg(F.lit(0).cast("long").alias("overlapping"), F.sum(F.col("n_t") * F.col("n_e")).alias("pairs"))
+    # An id with several texts may be in several classes, so its pairs are made distinct.
+    of = lambda t, e: linked.join(t, "train_key").join(e, "eval_key").select("train_id", "eval_id", "split", "source")
+    rest = of(train.where("not o_t"), other).unionByName(of(train.where("o_t"), other.where("not o_e"))).distinct()
+    rest = rest.groupBy("split", "source").agg(F.lit(0).cast("long").alias("overlapping"), F.count(F.lit(1)).alias("pairs"))
+    return hit.unionByName(plain).unionByName(rest).groupBy("split", "source").agg(F.sum("overlapping").alias("overlapping"), F.sum("pairs").alias("pairs"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -334,7 +364,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Per evaluation split and source: its questions, those that overlap, and pairs."""
     q = _questions(spark, d)
     members, pairs = overlaps(q)
-    got = expand(members, pairs).groupBy("split", "source").agg(F.count_distinct("eval_id").alias("overlapping"), F.count(F.lit(1)).alias("pairs"))
+    got = counted(members, pairs)
     every = q.where("side = 'eval'").groupBy("split", "source").agg(F.count_distinct("id").alias("questions"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     joined = every.alias("e").join(got.alias("g"), F.col("e.split").eqNullSafe(F.col("g.split")) & F.col("e.source").eqNullSafe(F.col("g.source")), "left")

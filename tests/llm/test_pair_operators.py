@@ -258,6 +258,20 @@ def test_hot_question(spark, monkeypatch):
     assert len(got) < 60
 
 
+def test_hot_question_in_many_texts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(C, "EXPAND", 20)
+    monkeypatch.setattr(C, "BLOCK", 4, raising=False)
+    q, again = TRAIN[0][1], TRAIN[1][1]
+    train = [(f"t{i}", "train", "s", q + " " * i) for i in range(10)] + [(f"u{i}", "train", "s", again) for i in range(30)]
+    # One evaluation question has two texts, which ask different things.
+    dev = [(f"e{i}", "dev", None, q.lower() + " " * i) for i in range(6)] + [(f"f{i}", "test", "s", again) for i in range(10)] + [("e0", "dev", None, again)]
+    for name, rows in (("core_gold", train + dev), ("holdout_b_gold", dev[:0])):
+        spark.createDataFrame(rows, "id string, split string, source string, query string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in C.p3_found(spark, str(tmp_path)).collect()}
+    assert {(f"e{k}", f"t{i}") for i in range(10) for k in range(6)} <= got
+    assert {tuple(r) for r in C.p3_report(spark, str(tmp_path)).collect()} == {("dev", None, 6, 6, 90), ("test", "s", 10, 10, 300)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc", max_size=8), st.text(alphabet="abc", max_size=8))
 def test_distance(a, b):
