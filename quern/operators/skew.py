@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:  # noqa: ANN001
+    """A join by shuffle and sort, never by broadcast.
+
+    For sides that grow with the data: the planner sees the size of compressed
+    files or shuffle blocks, so a table near its broadcast limit may be many times
+    as large in the driver's memory.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 #: A key is hot from this share of the rows on, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 0.002
 
@@ -37,5 +48,5 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str = "_refs", s
     is_hot = F.col("_hk").isNotNull()
     # Rows that are settled already get a spread-out key that matches nothing, so they don't meet in one task.
     probe = F.when(is_hot, F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in rows.columns]).cast("string"))).otherwise(F.col(key))
-    both = first.withColumn("_probe", probe).join(cold, F.col("_probe") == F.col("_ck"), "left")
+    both = merged(first.withColumn("_probe", probe), cold, F.col("_probe") == F.col("_ck"), "left")
     return both.select(*[F.col(c) for c in rows.columns], *[F.when(is_hot, F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in keys])
