@@ -8,7 +8,9 @@
 3. The code is cut into ``BLOCKS`` segments. Two codes within ``RADIUS`` bits agree
    in at least ``BLOCKS - RADIUS`` segments, so codes are joined across the splits
    on each choice of ``BLOCKS - RADIUS`` segments, and pairs beyond the radius are
-   dropped.
+   dropped. A pair counts under its first choice only. A block that many questions
+   share is dealt into pieces, and each piece of one side meets each of the other in
+   a task of its own.
 4. The texts of the pairs left are compared word by word: numbers, single letters
    and negations must agree, and any other difference must be a slip of the pen.
 5. Pairs of classes are expanded to ids and counted by split and source.
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.textarrays import mix
+from quern.operators.skew import merged
 from quern.session import table, write_once
 
 #: Words in at least this share of the questions are common; there are at most (words a question) / SHARE of them.
@@ -45,11 +48,13 @@ SLIP_RATIO = 12
 #: Chinese characters in a smaller share of the questions have no weight in the code.
 RARE_CHARACTER = 0.01
 #: Segments of the code, and bits in which codes may differ.
-BLOCKS, RADIUS = 8, 5
+BLOCKS, RADIUS = 7, 5
 #: Pairs of ids written out for a pair of stored texts.
 EXPAND = 10_000
-#: Members of a class in a block, of which pairs of ids are made.
-BLOCK = 100
+#: Members of a block of codes, or copies of a text, that one task takes at once.
+BLOCK = 1000
+#: Questions whose codes are made at once.
+SLICE = 4096
 
 # Words of courtesy, which may stand before or within a question.
 COURTESY = re.compile(
@@ -151,16 +156,28 @@ class Lexicon:
         return min(8.0, float(np.log(self.total / self.count(w))))
 
 
-def fingerprint(tokens: list[str], lex: Lexicon) -> int:
-    """The signs of the weighted sum of the words' hash bits."""
-    bag = sorted(Counter(tokens).items())
-    if not bag:
-        return 0
-    h = mix(np.array([xxhash.xxh64_intdigest(f"{w}\0{i}") for w, n in bag for i in range(n)], np.uint64))
-    weight = np.array([lex.weight(w) for w, n in bag for _ in range(n)])
-    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    total = ((bits.astype(np.float64) * 2 - 1) * weight[:, None]).sum(axis=0)
-    return int(np.packbits(total > 0, bitorder="little").view(np.uint64)[0])
+def fingerprints(questions: list[list[str]], lex: Lexicon) -> list[int]:
+    """The signs of the weighted sum of the words' hash bits, for many questions at once.
+
+    A question whose words all have no weight counts them equally; one without words has 0.
+    """
+    known: dict[tuple[str, int], int] = {}
+    at, owner = [], []
+    for k, tokens in enumerate(questions):
+        for w, n in sorted(Counter(tokens).items()):
+            at += [known.setdefault((w, i), len(known)) for i in range(n)]
+            owner += [k] * n
+    out = np.zeros(len(questions), np.uint64)
+    if at:
+        h = mix(np.array([xxhash.xxh64_intdigest(f"{w}\0{i}") for w, i in known], np.uint64))
+        signs = (h[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.float64) * 2 - 1
+        weights = np.array([lex.weight(w) for w, _ in known])[at]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        bare = np.add.reduceat(weights, first) == 0
+        weights[np.repeat(bare, np.diff(np.append(first, len(at))))] = 1.0
+        total = np.add.reduceat(signs[at] * weights[:, None], first)
+        out[np.array(owner)[first]] = np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out.tolist()
 
 
 def same_question(a: list[str], b: list[str], lex: Lexicon) -> bool:
@@ -217,25 +234,26 @@ def _slip_of_characters(a: list[str], b: list[str], left: list[str], right: list
     return context(longer, c) >= 0.002 * lex.total
 
 
-def lexicon(questions: DataFrame) -> Lexicon:
-    """Common words and Chinese pairs over all questions. Only words above the share come to the driver, which bounds their number."""
+def worded(questions: DataFrame) -> DataFrame:
+    """``id, side, split, source, text, raw``: the words of questions that ask something; ``text`` is a hash. Written once."""
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count: Counter[str] = Counter()
-            n = 0
-            for q in b.column(0).to_pylist():
-                if q and q.strip():
-                    n += 1
-                    w = words(q)
-                    count.update(set(w) | {x + y for x, y in zip(w, w[1:]) if _CJK.match(x) and _CJK.match(y)})
-            count[""] = n
-            yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-
-    counts = questions.select("query").mapInArrow(tokens, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = write_once(counts, "words")
-    total = next((r.n for r in counts.where("word = ''").collect()), 0)
-    common = {r.word: r.n for r in counts.where(F.col("word") != "").where(F.col("n") >= max(2, SHARE * total)).collect()}
+            raw = [words(q) if q else [] for q in b.column(5).to_pylist()]
+            some = pa.array([bool(r) for r in raw], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(raw, pa.list_(pa.string()))], ["id", "side", "split", "source", "text", "raw"]).filter(some)
+
+    cols = questions.select("id", "side", "split", "source", F.xxhash64("query").alias("text"), "query").where("query <> ''")
+    return write_once(cols.mapInArrow(run, "id string, side string, split string, source string, text long, raw array<string>"), "words")
+
+
+def lexicon(worded: DataFrame) -> Lexicon:
+    """Common words and Chinese pairs over all questions. Only words above the share come to the driver, which bounds their number."""
+    cjk = lambda c: c.rlike("^[㐀-鿿]")
+    nexts = F.zip_with("raw", F.slice("raw", 2, F.greatest(F.size("raw") - 1, F.lit(0))), lambda x, y: F.when(cjk(x) & cjk(y), F.concat(x, y)))
+    counts = worded.select(F.explode(F.array_distinct(F.array_compact(F.concat("raw", nexts)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = worded.count()
+    common = {r.word: r.n for r in counts.where(F.col("n") >= max(2, SHARE * total)).collect()}
     return Lexicon(common, total)
 
 
@@ -244,33 +262,47 @@ def _segments() -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge, edge[1:])]
 
 
-def coded(questions: DataFrame, lex: Lexicon) -> DataFrame:
-    """``id, side, split, source, text, key, code, tokens, raw`` of questions that ask something; ``text`` is a hash."""
-    held = questions.sparkSession.sparkContext.broadcast((lex.counts, lex.total))
+def coded(worded: DataFrame, lex: Lexicon) -> DataFrame:
+    """``side, key, text, id, split, source, cls, code, tokens, raw``: the code of each question and its class, of equal bags of words on one side."""
+    held = worded.sparkSession.sparkContext.broadcast((lex.counts, lex.total))
     lexicons: list[Lexicon] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not lexicons:
             lexicons.append(Lexicon(*held.value))
         own = lexicons[0]
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            at, keys, codes, toks, raw = [], [], [], [], []
-            for i, q in enumerate(texts):
-                r = words(q) if q else []
-                t = [own.meant(w) for w in r]
-                if t:
-                    at.append(i)
-                    keys.append(xxhash.xxh3_128_digest(" ".join(sorted(t)).encode()))
-                    codes.append(fingerprint(t, own))
-                    toks.append(t)
-                    raw.append(r)
-            kept = b.take(pa.array(at, pa.int64()))
-            code = pa.array(np.array(codes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(keys, pa.binary()), code, pa.array(toks, pa.list_(pa.string())), pa.array(raw, pa.list_(pa.string()))], ["id", "side", "split", "source", "text", "key", "code", "tokens", "raw"])
-
-    cols = questions.select("id", "side", "split", "source", F.xxhash64("query").alias("text"), "query")
-    return cols.mapInArrow(run, "id string, side string, split string, source string, text long, key binary, code long, tokens array<string>, raw array<string>")
+        for big in batches:
+            for at in range(0, big.num_rows, SLICE):
+                b = big.slice(at, SLICE)
+                tokens = [[own.meant(w) for w in r] for r in b.column(5).to_pylist()]
+                keys = [xxhash.xxh3_128_digest(" ".join(sorted(t)).encode()) for t in tokens]
+                code = pa.array(np.array(fingerprints(tokens, own), np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), code, pa.array(tokens, pa.list_(pa.string()))], [*b.schema.names, "key", "code", "tokens"])
+
+    out = worded.mapInArrow(run, "id string, side string, split string, source string, text long, raw array<string>, key binary, code long, tokens array<string>")
+    return out.select("side", "key", "text", "id", "split", "source", F.xxhash64("side", "key").alias("cls"), "code", "tokens", "raw")
+
+
+def near_codes(codes: DataFrame) -> DataFrame:
+    """Pairs ``t_cls, e_cls`` of the two sides whose codes differ in at most ``RADIUS`` bits (``side, cls, code``), each once."""
+    bounds = _segments()
+    part = [F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << n) - 1)) for a, n in bounds]
+    choices = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
+    keys = F.array(*[F.struct(F.lit(max(c)).alias("top"), F.xxhash64(F.lit(k), *[part[i] for i in c]).alias("block")) for k, c in enumerate(choices)])
+    rows = codes.select("side", "cls", "code", F.explode(keys).alias("k")).select("side", "cls", "code", "k.top", "k.block")
+    pieces = lambda s: F.ceil(F.count_if(F.col("side") == s) / F.lit(BLOCK)).cast("int")
+    both = rows.groupBy("block").agg(pieces("train").alias("t"), pieces("eval").alias("e")).where("t > 0 and e > 0")
+    dealt = merged(rows, both, "block")
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    train = dealt.where("side = 'train'").select("block", "top", F.col("cls").alias("t_cls"), F.col("code").alias("t_code"), own("t").alias("i"), every("e").alias("j"))
+    other = dealt.where("side = 'eval'").select("block", F.col("cls").alias("e_cls"), F.col("code").alias("e_code"), own("e").alias("j"), every("t").alias("i"))
+    apart = F.col("t_code").bitwiseXOR(F.col("e_code"))
+    equal = [(F.shiftrightunsigned(apart, a).bitwiseAND(F.lit((1 << n) - 1)) == 0).cast("int") for a, n in bounds]
+    # The first choice that agrees is that of the lowest equal segments.
+    lower = sum((F.when(F.col("top") >= s, x).otherwise(0) for s, x in enumerate(equal)), F.lit(0))
+    met = merged(train, other, ["block", "i", "j"])
+    return met.where(F.bit_count(apart) <= RADIUS).where(lower == BLOCKS - RADIUS).select("t_cls", "e_cls")
 
 
 def overlaps(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,20 +311,14 @@ def overlaps(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``questions`` has ``id, side`` (train or eval), ``split, source, query``.
     """
     spark = questions.sparkSession
-    lex = lexicon(questions)
+    cut = worded(questions)
+    lex = lexicon(cut)
     held = spark.sparkContext.broadcast((lex.counts, lex.total))
-    rows = write_once(coded(questions, lex), "coded")
-    classes = rows.groupBy("side", "key").agg(F.first("code").alias("code"), F.first(F.struct("tokens", "raw")).alias("tokens"))
-    segments = [F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << n) - 1)) for a, n in _segments()]
-    choices = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
-    keys = F.array(*[F.xxhash64(F.lit(k), *[segments[i] for i in c]) for k, c in enumerate(choices)])
-    blocks = classes.select("side", "key", "code", F.explode(keys).alias("block"))
-    train = blocks.where("side = 'train'").select("block", F.col("key").alias("train_key"), F.col("code").alias("train_code"))
-    other = blocks.where("side = 'eval'").select("block", F.col("key").alias("eval_key"), F.col("code").alias("eval_code"))
-    near = F.bit_count(F.col("train_code").bitwiseXOR(F.col("eval_code"))) <= RADIUS
-    pairs = train.join(other, "block").where(near).select("train_key", "eval_key").distinct()
-    side = lambda s: classes.where(F.col("side") == s).select(F.col("key").alias(f"{s}_key"), F.col("tokens").alias(f"{s}_tokens"))
-    full = pairs.join(side("train"), "train_key").join(side("eval"), "eval_key")
+    rows = write_once(coded(cut, lex), "coded")
+    classes = rows.groupBy("side", "cls", "key").agg(F.first("code").alias("code"), F.first(F.struct("tokens", "raw")).alias("tokens"))
+    pairs = near_codes(rows.select("side", "cls", "code").distinct())
+    side = lambda s: classes.where(F.col("side") == s).select(F.col("cls").alias(f"{s[0]}_cls"), F.col("key").alias(f"{s}_key"), F.col("tokens").alias(f"{s}_tokens"))
+    full = merged(merged(pairs, side("train"), "t_cls"), side("eval"), "e_cls")
     lexicons: list[Lexicon] = []
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,34 +338,51 @@ def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of ids with the evaluation side's split and source: ``train_id, eval_id, split, source``.
 
     All pairs, but where two texts, exactly as stored, have more than ``EXPAND``
-    of them: then each copy is paired with the other text's first id only.
+    of them: then each copy is paired with the other text's first id only. Pairs of
+    classes are expanded to pairs of texts first, so pairs that are not wanted are
+    never made; texts and copies of a hot question are dealt into blocks.
     """
-    copies = members.groupBy("side", "key", "text").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
-    sizes = members.groupBy("side", "key").agg(F.ceil(F.count_distinct("id") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    m = members.join(copies, ["side", "key", "text"]).join(sizes, ["side", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    train = m.where("side = 'train'").select(F.col("key").alias("train_key"), F.col("block").alias("b_t"), F.col("id").alias("train_id"), F.col("n").alias("n_t"), (F.col("id") == F.col("first")).alias("f_t"))
-    other = m.where("side = 'eval'").select(F.col("key").alias("eval_key"), F.col("block").alias("b_e"), F.col("id").alias("eval_id"), "split", "source", F.col("n").alias("n_e"), (F.col("id") == F.col("first")).alias("f_e"))
-    side = lambda s, b: sizes.where(F.col("side") == s).select(F.col("key").alias(f"{s}_key"), F.col("blocks").alias(b))
-    # Blocks of members meet, so that no task takes all pairs of a hot question.
-    met = pairs.select("train_key", "eval_key").distinct().join(side("train", "t"), "train_key").join(side("eval", "e"), "eval_key")
-    met = met.withColumn("b_t", F.explode(F.expr("sequence(0, t - 1)"))).withColumn("b_e", F.explode(F.expr("sequence(0, e - 1)")))
-    few = (F.col("n_t") * F.col("n_e") <= EXPAND) | F.col("f_t") | F.col("f_e")
-    return met.join(train, ["train_key", "b_t"]).join(other, ["eval_key", "b_e"]).where(few).select("train_id", "eval_id", "split", "source").distinct()
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    texts = members.groupBy("side", "key", "text").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
+    sizes = texts.groupBy("side", "key").agg(F.count(F.lit(1)).alias("m")).withColumn("m", blocks("m"))
+    dealt = merged(texts, sizes, ["side", "key"]).withColumn("b", place("text", "m"))
+    copies = merged(members, texts.select("side", "key", "text", blocks("n").alias("m")), ["side", "key", "text"]).withColumn("b", place("id", "m"))
+
+    def of(df: DataFrame, side: str, **names: str) -> DataFrame:
+        return df.where(F.col("side") == side).select(*[F.col(a).alias(b) for a, b in names.items()])
+
+    met = merged(pairs.select("train_key", "eval_key").distinct(), of(sizes, "train", key="train_key", m="t"), "train_key")
+    met = merged(met, of(sizes, "eval", key="eval_key", m="e"), "eval_key").withColumn("t", every("t")).withColumn("e", every("e"))
+    met = merged(met, of(dealt, "train", key="train_key", b="t", text="t_text", n="t_n", first="t_first"), ["train_key", "t"])
+    met = merged(met, of(dealt, "eval", key="eval_key", b="e", text="e_text", n="e_n", first="e_first"), ["eval_key", "e"]).drop("t", "e")
+    many = F.col("t_n") * F.col("e_n") > EXPAND
+    train = of(copies, "train", key="train_key", text="t_text", b="t", id="train_id")
+    other = of(copies, "eval", key="eval_key", text="e_text", b="e", id="eval_id", split="split", source="source")
+    one = of(members, "eval", key="eval_key", text="e_text", id="eval_id", split="split", source="source")
+    with_train = lambda df: merged(df.withColumn("t", blocks("t_n")).withColumn("t", every("t")), train, ["train_key", "t_text", "t"])
+    with_other = lambda df: merged(df.withColumn("e", blocks("e_n")).withColumn("e", every("e")), other, ["eval_key", "e_text", "e"])
+    out = ["train_id", "eval_id", "split", "source"]
+    all_ = with_other(with_train(met.where(~many))).select(*out)
+    to_first = merged(with_train(met.where(many)).withColumnRenamed("e_first", "eval_id"), one, ["eval_key", "e_text", "eval_id"]).select(*out)
+    of_first = with_other(met.where(many)).select(F.col("t_first").alias("train_id"), "eval_id", "split", "source")
+    return all_.unionByName(to_first).unionByName(of_first).distinct()
 
 
 def counted(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per split and source the questions that overlap and all their pairs, which are not written out: ``split, source, overlapping, pairs``."""
     keys = members.groupBy("side", "id").agg(F.count_distinct("key").alias("n_keys"))
-    m = members.drop("text").distinct().join(keys, ["side", "id"]).withColumn("once", F.col("n_keys") == 1)
+    m = merged(members.drop("text").distinct(), keys, ["side", "id"]).withColumn("once", F.col("n_keys") == 1)
     train = m.where("side = 'train'").select(F.col("key").alias("train_key"), F.col("id").alias("train_id"), F.col("once").alias("o_t")).distinct()
     other = m.where("side = 'eval'").select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id"), "split", "source", F.col("once").alias("o_e")).distinct()
     linked = pairs.select("train_key", "eval_key").distinct()
-    hit = other.join(linked.select("eval_key").distinct(), "eval_key").groupBy("split", "source").agg(F.count_distinct("eval_id").alias("overlapping"), F.lit(0).cast("long").alias("pairs"))
+    hit = merged(other, linked.select("eval_key").distinct(), "eval_key").groupBy("split", "source").agg(F.count_distinct("eval_id").alias("overlapping"), F.lit(0).cast("long").alias("pairs"))
     n_t = train.where("o_t").groupBy("train_key").agg(F.count(F.lit(1)).alias("n_t"))
     n_e = other.where("o_e").groupBy("eval_key", "split", "source").agg(F.count(F.lit(1)).alias("n_e"))
-    plain = linked.join(n_t, "train_key").join(n_e, "eval_key").groupBy("split", "source").agg(F.lit(0).cast("long").alias("overlapping"), F.sum(F.col("n_t") * F.col("n_e")).alias("pairs"))
+    plain = merged(merged(linked, n_t, "train_key"), n_e, "eval_key").groupBy("split", "source").agg(F.lit(0).cast("long").alias("overlapping"), F.sum(F.col("n_t") * F.col("n_e")).alias("pairs"))
     # An id with several texts may be in several classes, so its pairs are made distinct.
-    of = lambda t, e: linked.join(t, "train_key").join(e, "eval_key").select("train_id", "eval_id", "split", "source")
+    of = lambda t, e: merged(merged(linked, t, "train_key"), e, "eval_key").select("train_id", "eval_id", "split", "source")
     rest = of(train.where("not o_t"), other).unionByName(of(train.where("o_t"), other.where("not o_e"))).distinct()
     rest = rest.groupBy("split", "source").agg(F.lit(0).cast("long").alias("overlapping"), F.count(F.lit(1)).alias("pairs"))
     return hit.unionByName(plain).unionByName(rest).groupBy("split", "source").agg(F.sum("overlapping").alias("overlapping"), F.sum("pairs").alias("pairs"))
@@ -371,5 +414,15 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("e.split", "e.source", "e.questions", zero("overlapping"), zero("pairs"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each question with its class (named by its first id), the class's size and its links to classes of the other side."""
+    members, pairs = overlaps(_questions(spark, d))
+    sizes = members.groupBy("side", "key").agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("n_questions"))
+    ends = [pairs.select(F.lit(s).alias("side"), F.col(f"{s}_key").alias("key")) for s in ("train", "eval")]
+    links = ends[0].unionByName(ends[1]).groupBy("side", "key").agg(F.count(F.lit(1)).alias("n_links"))
+    facts = merged(sizes, links, ["side", "key"], "left").select("side", "key", "class_id", "n_questions", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return merged(members.select("side", "key", "id", "split", "source").distinct(), facts, ["side", "key"]).drop("key")
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_classes": p3_classes}
 SQL: dict[str, str] = {}
