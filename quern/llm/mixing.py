@@ -2,13 +2,15 @@
 
 The documents of a source are laid end to end in a pseudorandom order and their
 tokens are packed into blocks of ``BLOCK`` tokens. A mix is a number of slots, one
-block each, in output shards of ``SHARD`` slots. Each shard draws how many of its
-slots a source gets from a multinomial law over what the sources still have to
-give, so the sums over all shards are the targets exactly. A source's slots are
-counted through; slot ``j`` takes block ``permute(j mod blocks)`` of pass
-``j div blocks``, and blocks are joined by that index. A block is used once per
-pass, and there are at most ``max_repeats`` passes, so no token of a document is
-used more often than that.
+block each, in output shards of ``SHARD`` slots. The slots of all shards are halved
+again and again down to one shard; at each halving a multinomial draw over what the
+sources have to give tells how many of its slots each gets on either side, so the
+sums over all shards are the targets exactly. The draws of a halving have a seed of
+their own, so a task finds those of its shards by itself, and nothing about shards
+passes through the driver. A source's slots are counted through; slot ``j`` takes
+block ``permute(j mod blocks)`` of pass ``j div blocks``, and blocks are joined by
+that index. A block is used once per pass, and there are at most ``max_repeats``
+passes, so no token of a document is used more often than that.
 
 Sources are compared lower-cased, without outer spaces and with ``_`` for ``-``.
 Documents without a source, or of sources a mix doesn't name, are not in that mix
@@ -24,18 +26,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.tokenizer import count_tokens
+from quern.llm.tokenizer import count_tokens, encode
+from quern.operators.skew import merged
 from quern.session import table, write_once
 
 #: Tokens in a block. Shares are met to within one block per source.
 BLOCK = 1024
 #: Slots in an output shard.
 SHARD = 256
+#: Shards that a task draws at once.
+GROUP = 64
 #: Parts of a source whose sizes are added up apart before documents are laid end to end.
 CELLS = 1024
 SEED = 20240607
@@ -85,21 +90,36 @@ def allot(budget: float, shares: dict[str, float], most: dict[str, int]) -> dict
     return {s: min(int(round(x)), most.get(s, 0)) for s, x in got.items()}
 
 
-def draw_shards(totals: dict[str, int], key: int) -> Iterator[tuple[int, str, int, int]]:
-    """Per shard and source: its slots of the source, from which one of the source's slots on."""
+def draw(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``size`` slots each source gets, none more than it has left."""
+    got = np.minimum(rng.multinomial(size, left / left.sum()), left)
+    for k in np.argsort(-(left - got), kind="stable"):  # what a source no longer has goes to those with most left
+        got[k] += min(size - got.sum(), left[k] - got[k])
+    return got
+
+
+def draw_shards(totals: dict[str, int], key: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, str, int, int]]:
+    """Per shard and source: its slots of the source, from which one of the source's slots on; for shards from ``first`` up to ``last``.
+
+    Only the halvings on the way to these shards are drawn, whatever the number of all.
+    """
     names = sorted(s for s in totals if totals[s])
-    left = np.array([totals[s] for s in names], np.int64)
-    rng, shard = np.random.default_rng(key), 0
-    given = np.zeros_like(left)
-    while left.sum():
-        size = min(SHARD, int(left.sum()))
-        draw = np.minimum(rng.multinomial(size, left / left.sum()), left)
-        for k in np.argsort(-(left - draw), kind="stable"):  # what a source no longer has goes to those with most left
-            draw[k] += min(size - draw.sum(), left[k] - draw[k])
-        for s, a, n in zip(names, given, draw):
-            if n:
-                yield shard, s, int(a), int(n)
-        left, given, shard = left - draw, given + draw, shard + 1
+    whole = np.array([totals[s] for s in names], np.int64)
+    n = int(whole.sum())
+    shards = -(-n // SHARD)
+    last = shards if last is None else min(last, shards)
+    todo = [(0, shards, whole, np.zeros_like(whole))] if first < last else []
+    while todo:
+        lo, hi, own, before = todo.pop()
+        if hi - lo == 1:
+            yield from ((lo, s, int(a), int(k)) for s, a, k in zip(names, before, own) if k)
+            continue
+        mid = (lo + hi) // 2
+        left = draw(own, (mid - lo) * SHARD, np.random.default_rng([key, lo, hi]))
+        if mid < last and hi > first:
+            todo.append((mid, hi, own - left, before + left))
+        if mid > first:
+            todo.append((lo, mid, left, before))
 
 
 def lay_out(sized: DataFrame) -> DataFrame:
@@ -117,42 +137,73 @@ def lay_out(sized: DataFrame) -> DataFrame:
     return laid.select("source", "doc_id", "n_tokens", "first_token")
 
 
-def in_blocks(laid: DataFrame) -> DataFrame:
-    """The part of each document in each block: ``source, block, doc_id, n_tokens, part``."""
+def in_blocks(laid: DataFrame, *more: str) -> DataFrame:
+    """The part of each document in each block: ``source, block, doc_id, n_tokens, part`` and columns asked for."""
     end = F.col("first_token") + F.col("n_tokens")
     cut = laid.withColumn("block", F.explode(F.sequence(F.expr(f"first_token div {BLOCK}"), F.expr(f"(first_token + n_tokens - 1) div {BLOCK}"))))
     part = F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest(F.col("first_token"), F.col("block") * BLOCK)
-    return cut.select("source", "block", "doc_id", "n_tokens", part.alias("part"))
+    return cut.select("source", "block", "doc_id", "n_tokens", part.alias("part"), *more)
+
 
+def _slots(spark: SparkSession, targets: DataFrame, totals: dict[str | None, int]) -> DataFrame:
+    """One row per slot: ``mix_name, shard, place, source, block``.
 
-def _plans(spark: SparkSession, targets: DataFrame, totals: dict[str | None, int]) -> DataFrame:
-    """Rows ``mix_name, source, shard, slot, slots, blocks``: from the fixed table of targets and one total per source."""
+    The driver works out one number of slots per row of the fixed table of targets,
+    from one total per source; shards are drawn where their groups lie.
+    """
     rows = targets.select("mix_name", norm_source(F.col("source")).alias("source"), "target_share", "max_repeats", "budget_fraction").collect()
-    plans = []
+    plans, groups = [], 0
     for mix in sorted({r.mix_name for r in rows if r.mix_name is not None}):
         own = [r for r in rows if r.mix_name == mix and r.source is not None]
         blocks = {r.source: -(-totals.get(r.source, 0) // BLOCK) for r in own}
         most = {r.source: blocks[r.source] * (r.max_repeats or 0) for r in own}
         budget = max((r.budget_fraction or 0 for r in own), default=0) * sum(totals.values()) / BLOCK
-        slots = allot(budget, {r.source: r.target_share or 0 for r in own}, most)
-        plans += [(mix, s, shard, a, n, blocks[s]) for shard, s, a, n in draw_shards(slots, key_of("shards", mix))]
-    return spark.createDataFrame(plans, "mix_name string, source string, shard long, slot long, slots long, blocks long")
-
-
-def _slots(plans: DataFrame) -> DataFrame:
-    """One row per slot with the block it takes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                j = np.arange(r.slot, r.slot + r.slots)
-                taken = np.empty_like(j)
-                for p in np.unique(j // r.blocks):
-                    own = j // r.blocks == p
-                    taken[own] = permute(j[own] % r.blocks, r.blocks, key_of("pass", r.mix_name, r.source, int(p)))
-                yield pd.DataFrame({"mix_name": r.mix_name, "source": r.source, "shard": r.shard, "block": taken})
-
-    return plans.mapInPandas(run, "mix_name string, source string, shard long, block long")
+        slots = {s: n for s, n in allot(budget, {r.source: r.target_share or 0 for r in own}, most).items() if n}
+        if slots:
+            start, groups = groups, groups + -(-sum(slots.values()) // (SHARD * GROUP))
+            plans.append((start, groups, mix, list(slots), list(slots.values()), [blocks[s] for s in slots]))
+    fixed = spark.createDataFrame(plans, "start long, stop long, mix_name string, sources array<string>, slots array<long>, blocks array<long>")
+    each = spark.range(groups).join(F.broadcast(fixed), (F.col("id") >= F.col("start")) & (F.col("id") < F.col("stop")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group, mix, names, slots, blocks in zip(*[c.to_pylist() for c in b.columns]):
+                of = dict(zip(names, blocks))
+                held: list[tuple[str, np.ndarray]] = []
+                at = None
+                for shard, source, a, n in [*draw_shards(dict(zip(names, slots)), key_of("shards", mix), group * GROUP, (group + 1) * GROUP), (None, "", 0, 0)]:
+                    if shard != at and held:
+                        yield _shard(mix, at, held)
+                        held = []
+                    at = shard
+                    if n:
+                        held.append((source, _taken(mix, source, np.arange(a, a + n), of[source])))
+
+    return each.select((F.col("id") - F.col("start")).alias("group"), "mix_name", "sources", "slots", "blocks").mapInArrow(run, "mix_name string, shard long, place int, source string, block long")
+
+
+def _taken(mix: str, source: str, j: np.ndarray, blocks: int) -> np.ndarray:
+    """The block that each slot of a source takes."""
+    taken = np.empty_like(j)
+    for p in np.unique(j // blocks):
+        own = j // blocks == p
+        taken[own] = permute(j[own] % blocks, blocks, key_of("pass", mix, source, int(p)))
+    return taken
+
+
+def _shard(mix: str, shard: int, held: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+    """The slots of a shard, its sources shuffled."""
+    n = sum(len(b) for _, b in held)
+    place = permute(np.arange(n), n, key_of("places", mix, shard)).astype(np.int32)
+    sources = [s for s, b in held for _ in b]
+    return pa.RecordBatch.from_arrays([pa.array([mix] * n), pa.array(np.full(n, shard, np.int64)), pa.array(place), pa.array(sources), pa.array(np.concatenate([b for _, b in held]))], ["mix_name", "shard", "place", "source", "block"])
+
+
+def _totals(sized: DataFrame, named: DataFrame) -> dict[str | None, int]:
+    """Tokens per named source, and of all other sources as one: at most one row per row of targets and one more."""
+    per_source = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    known = per_source.join(F.broadcast(named.withColumn("_named", F.lit(True))), "source", "left").groupBy(F.when(F.col("_named"), F.col("source")).alias("source")).agg(F.sum("n").alias("n"))
+    return {r.source: r.n for r in known.collect()}
 
 
 def mix(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -166,16 +217,31 @@ def mix(docs: DataFrame, targets: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sized = write_once(count_tokens(docs.select("doc_id", norm_source(F.col("source")).alias("source"), "text")), "sized")
     named = targets.select(norm_source(F.col("source")).alias("source")).distinct()
-    per_source = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    # Sources no mix names are summed up, so the driver gets at most one row per row of targets and one more.
-    known = per_source.join(F.broadcast(named.withColumn("_named", F.lit(True))), "source", "left").groupBy(F.when(F.col("_named"), F.col("source")).alias("source")).agg(F.sum("n").alias("n"))
-    totals = {r.source: r.n for r in known.collect()}
-    times = _slots(_plans(spark, targets, totals)).groupBy("mix_name", "source", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = _slots(spark, targets, _totals(sized, named)).groupBy("mix_name", "source", "block").agg(F.count(F.lit(1)).alias("times"))
     usable = sized.join(F.broadcast(named), "source", "left_semi").where("n_tokens > 0")
-    used = in_blocks(lay_out(usable)).join(times, ["source", "block"])
+    used = merged(in_blocks(lay_out(usable)), times, ["source", "block"])
     return used.groupBy("mix_name", "source", "doc_id", "n_tokens").agg(F.max("times").alias("uses"), F.sum(F.col("part") * F.col("times")).alias("tokens_used")).select("mix_name", "source", "doc_id", "uses", "n_tokens", "tokens_used")
 
 
+def mixed_blocks(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The tokens of every slot: ``mix_name, shard, place, source, block, ids``, as a training job reads them.
+
+    A source's last block may be shorter than ``BLOCK``. Input as for ``mix``.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(F.struct("doc_id", norm_source(F.col("source")).alias("source")).alias("key"), "text")
+    coded = encode(keyed, "key").select("key.doc_id", "key.source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    coded = write_once(coded, "coded")
+    named = targets.select(norm_source(F.col("source")).alias("source")).distinct()
+    slots = _slots(spark, targets, _totals(coded, named))
+    usable = coded.select("doc_id", "source", "n_tokens").join(F.broadcast(named), "source", "left_semi").where("n_tokens > 0")
+    parts = merged(in_blocks(lay_out(usable).withColumn("from_token", F.col("first_token")), "from_token"), coded.select("doc_id", "source", "ids"), ["source", "doc_id"])
+    at = F.greatest(F.col("block") * BLOCK - F.col("from_token"), F.lit(0))
+    cut = parts.select("source", "block", F.struct((F.col("from_token") + at).alias("at"), F.slice("ids", (at + 1).cast("int"), F.col("part").cast("int")).alias("ids")).alias("p"))
+    whole = cut.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.ids)).alias("ids"))  # bounded by the block's size
+    return merged(slots, whole, ["source", "block"]).select("mix_name", "shard", "place", "source", "block", "ids")
+
+
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and actual shares per mix and source; a source that gave nothing has 0 tokens."""
     t = targets.select("mix_name", norm_source(F.col("source")).alias("source"), "target_share", "max_repeats")
@@ -201,5 +267,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(_docs(spark, d), targets), targets)
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
+def p8_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The token blocks of every mix by shard and place."""
+    return mixed_blocks(_docs(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_blocks": p8_blocks}
 SQL: dict[str, str] = {}

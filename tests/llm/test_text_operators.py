@@ -273,6 +273,29 @@ def test_shards_add_up():
     assert all(v == X.SHARD for k, v in sizes.items() if k < max(sizes))
 
 
+def test_shards_drawn_apart_are_those_drawn_together():
+    totals = {"a": 100_000, "b": 33_333, "c": 12}
+    rows = list(X.draw_shards(totals, 5))
+    n = max(r[0] for r in rows) + 1
+    assert [r for k in range(0, n + 7, 7) for r in X.draw_shards(totals, 5, k, k + 7)] == rows
+    share = [r[3] for r in rows if r[1] == "b" and r[0] < n - 1]
+    assert 20 < min(share) < max(share) < 110
+
+
+def test_blocks_of_tokens(spark):
+    docs = [(i, "s", "valve gate " * (40 * i)) for i in range(1, 40)] + [(100, None, "x"), (101, "s", None)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("m", "S", 1.0, 2, 1.5)], "mix_name string, source string, target_share double, max_repeats int, budget_fraction double")
+    rows = X.mixed_blocks(df, t).collect()
+    assert len({(r.shard, r.place) for r in rows}) == len(rows)
+    of = {r.block: tuple(r.ids) for r in rows}
+    assert all(of[r.block] == tuple(r.ids) for r in rows) and all(len(v) == X.BLOCK for k, v in of.items() if k < max(of))
+    chosen = X.mix(df, t)
+    assert sum(len(r.ids) for r in rows) == chosen.agg(F.sum("tokens_used")).first()[0]
+    whole = chosen.where("uses = 2").count()
+    assert 0 < whole < len(docs)
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(3)
     docs = [(i, ["Big", "big ", "small", "other", None][i % 5], " ".join(rng.choice(["valve", "gate", "crew", "水位"]) for _ in range(rng.randint(0, 900))), "clash") for i in range(400)]
