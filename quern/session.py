@@ -81,6 +81,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def cpu_tasks(spark: SparkSession) -> int:
+    """Tasks for a stage bound by computing: an explicit number isn't merged by size, as adaptive plans do with small partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate to the shared folder and read it back.
 
