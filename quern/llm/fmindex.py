@@ -1,6 +1,6 @@
 """A compressed FM-index over code points, and windows that occur in more than one owner.
 
-The suffixes are ordered by their first ``ORDER`` symbols only. Backward search
+The suffixes are ordered by their first symbols only (``ORDER`` unless told). Backward search
 is exact for patterns up to that length: suffixes before the range of a pattern
 differ from it within its length, and putting one symbol before both keeps that
 order. Occurrences are counted on a wavelet matrix of packed bits with one
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Suffixes are sorted by this many symbols (a power of two times 4).
+#: Suffixes are sorted by this many symbols at least.
 ORDER = 256
 
 
@@ -89,7 +89,8 @@ class FMIndex:
     #: The owner of segments that stand in more than one record.
     MANY = -1
 
-    def __init__(self, segments: list[np.ndarray], owners: np.ndarray) -> None:
+    def __init__(self, segments: list[np.ndarray], owners: np.ndarray, order: int = ORDER) -> None:
+        self.order = order
         sizes = np.array([len(x) for x in segments], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         points = np.zeros(int((sizes + 1).sum()), np.uint32)
@@ -102,7 +103,7 @@ class FMIndex:
         # 0 stands between segments and nowhere else.
         self.text = np.where(body, symbols.astype(np.int64) + 1, 0)
         self.sizes, self.owners = sizes, owners
-        self.sa = suffix_order(self.text)
+        self.sa = suffix_order(self.text, order)
         bwt = self.text[self.sa - 1]
         sigma = len(kinds) + 1
         self.wm = WaveletMatrix(bwt, sigma)
@@ -124,7 +125,7 @@ class FMIndex:
         it succeeds, the match is followed to the right beside one occurrence of
         another owner, and the next window is the first that leaves it.
         """
-        if width > ORDER:
+        if width > self.order:
             raise ValueError("windows are longer than the order of the index")
         seg = np.flatnonzero(self.sizes >= width)
         owner = self.owners[seg]

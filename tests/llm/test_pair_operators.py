@@ -111,6 +111,24 @@ def test_spans_equal_brute_force(spark, monkeypatch):
     assert (cover[106].n_chars, cover[106].shared_share) == (0, 0.0) and cover[102].shared_share == 1.0
 
 
+@pytest.mark.parametrize("span", [2, 31, 300])
+def test_spans_of_other_lengths(spark, span):
+    docs = span_docs()
+    df = spark.createDataFrame([(d, t[:4000] if t else t) for d, t in docs][-20:], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in P.shared_spans(df, span=span).groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("n")).collect()}
+    assert got == brute_spans([(r.doc_id, r.text) for r in df.collect()], span)
+
+
+def test_a_passage_in_many_contexts(spark, monkeypatch):
+    """A part never grows with the number of contexts of a passage."""
+    monkeypatch.setattr(P, "HEAVY", 20)
+    rng = random.Random(3)
+    passage = prose(rng, 60)[:215]
+    docs = [(i, prose(rng, 30) + passage[i % 3 : 213 + i % 3] + prose(rng, 30)) for i in range(90)] + [(i, prose(rng, 30) + passage[:199] + prose(rng, 30)) for i in range(100, 130)]
+    got = {r.doc_id: r.n for r in P.shared_spans(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("n")).collect()}
+    assert got == brute_spans(docs) and len(got) >= 90
+
+
 def test_spans_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.shared_spans(empty).count() == 0
