@@ -45,8 +45,12 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str = "_refs", s
     hot = marked.where("_hot").select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in keys])
     cold = marked.where(~F.col("_hot")).select(F.col(key).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in keys])
     first = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    is_hot = F.col("_hk").isNotNull()
-    # Rows that are settled already get a spread-out key that matches nothing, so they don't meet in one task.
-    probe = F.when(is_hot, F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in rows.columns]).cast("string"))).otherwise(F.col(key))
+    is_hot, known = F.col("_hk").isNotNull(), F.col(key).isNotNull()
+    # Rows that are settled already, and those without a key, get a spread-out key, so they don't meet in one task.
+    # What it may match by chance is not taken: facts have one row per key, and only rows with a cold key read them.
+    spread = F.xxhash64(*[F.col(c) for c in rows.columns])
+    if rows.schema[key].dataType.typeName() != "long":
+        spread = F.concat(F.lit("\u0000"), spread.cast("string"))
+    probe = F.when(known & ~is_hot, F.col(key)).otherwise(spread)
     both = merged(first.withColumn("_probe", probe), cold, F.col("_probe") == F.col("_ck"), "left")
-    return both.select(*[F.col(c) for c in rows.columns], *[F.when(is_hot, F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in keys])
+    return both.select(*[F.col(c) for c in rows.columns], *[F.when(is_hot, F.col(f"_h_{c}")).when(known, F.col(f"_c_{c}")).alias(c) for c in keys])
