@@ -8,7 +8,8 @@ of two texts, lower-cased and with runs of white space as one space.
    ``2 * BINS / ROWS`` elements are the text's prefix: two texts at the threshold
    have none in common with a probability of about 0.3 %, at 0.8 of 0.01 %.
 2. Records with an identical prefix and the same number of grams are one group,
-   combined on the map side; copies thus cost one group however many there are.
+   combined on the map side; copies thus cost one group however many there are. A
+   group of more than ``TEXTS`` different texts is parted into groups of that size.
 3. Groups that share an element of their prefix are paired. A pair is filtered by
    size and by 64 bits of the signature. The groups of an element that more than
    ``CROWD`` share are dealt into blocks of about ``BLOCK``, and each block meets
@@ -31,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.textarrays import gram_hashes, mix, points_of
-from quern.operators.skew import lookup
+from quern.operators.skew import lookup, merged
 from quern.session import table, write_once
 
 GRAM = 5
@@ -47,6 +48,8 @@ BINS, ROWS = 140, 7
 BITS = 45
 #: Groups that may share an element before they are dealt into blocks, and groups of a block.
 CROWD, BLOCK = 300, 2000
+#: Different texts in a group.
+TEXTS = 1000
 #: Bits of a gram's hash that are sorted beside its text's number.
 HASH_BITS = 44
 #: Pairs of members written out for a pair of classes.
@@ -269,7 +272,18 @@ def crowd_pairs(crowd: DataFrame) -> DataFrame:
 def sketches(records: DataFrame) -> DataFrame:
     """Signatures of all records (``src_table, id, text``), written once; ``grp`` names prefix and size."""
     s = records.mapInArrow(_sketch, "src_table string, id string, text_key binary, size int, elements array<long>, bits long")
-    return write_once(s.withColumn("grp", F.xxhash64("src_table", "size", "elements")), "sketches")
+    return parted(write_once(s.withColumn("grp", F.xxhash64("src_table", "size", "elements")), "sketches"))
+
+
+def parted(sk: DataFrame) -> DataFrame:
+    """Groups of more than ``TEXTS`` different texts in parts; the parts share all elements, so they are paired like other groups."""
+    texts = sk.groupBy("grp", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    many = texts.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("_refs")).where(F.col("n") > TEXTS).withColumn("parts", F.ceil(F.col("n") / F.lit(TEXTS)).cast("int")).select("grp", "parts", "_refs")
+    many = write_once(many, "many")
+    if many.isEmpty():
+        return sk
+    part = F.xxhash64("grp", F.pmod(F.xxhash64("text_key"), F.col("parts")))
+    return write_once(lookup(sk, many, "grp").withColumn("grp", F.coalesce(part, F.col("grp"))).drop("parts"), "parted")
 
 
 def group_pairs(sk: DataFrame) -> DataFrame:
@@ -301,17 +315,20 @@ def class_pairs(records: DataFrame, sk: DataFrame) -> DataFrame:
     """Verified pairs of different texts: ``key_a, key_b, similarity``. The keys are those of the texts, whatever their table."""
     classes = sk.groupBy("grp", "text_key", "src_table").agg(F.min("id").alias("id"))
     side = lambda n: classes.select(F.col("grp").alias(f"g{n}"), F.col("text_key").alias(f"key_{n}"))
-    across = group_pairs(sk).join(side("a"), F.col("a") == F.col("ga")).join(side("b"), F.col("b") == F.col("gb")).select(F.col("ga").alias("g1"), "key_a", F.col("gb").alias("g2"), "key_b")
+    across = merged(group_pairs(sk), side("a"), F.col("a") == F.col("ga"))
+    across = merged(across, side("b"), F.col("b") == F.col("gb")).select(F.col("ga").alias("g1"), "key_a", F.col("gb").alias("g2"), "key_b")
+    # A group has a bounded number of texts, so these pairs are few per group.
     several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    multi = classes.join(several, "grp").select("grp", "text_key")
-    inside = multi.select(F.col("grp").alias("g1"), F.col("text_key").alias("key_a")).join(multi.select(F.col("grp").alias("g2"), F.col("text_key").alias("key_b")), (F.col("g1") == F.col("g2")) & (F.col("key_a") < F.col("key_b")))
+    multi = merged(classes, several, "grp").select("grp", "text_key")
+    one, two = multi.select(F.col("grp").alias("g1"), F.col("text_key").alias("key_a")), multi.select(F.col("grp").alias("g2"), F.col("text_key").alias("key_b"))
+    inside = merged(one, two, (F.col("g1") == F.col("g2")) & (F.col("key_a") < F.col("key_b")))
     pairs = write_once(across.unionByName(inside), "pairs")
     ends = pairs.select(F.col("g1").alias("grp"), F.col("key_a").alias("text_key")).unionByName(pairs.select(F.col("g2").alias("grp"), F.col("key_b").alias("text_key"))).distinct()
-    wanted = classes.join(ends, ["grp", "text_key"]).select("src_table", "id", "grp", "text_key")
-    texts = write_once(records.where("id is not null").join(wanted, ["src_table", "id"]).select("grp", "text_key", "text").dropDuplicates(["grp", "text_key"]), "texts")
+    wanted = merged(classes, ends, ["grp", "text_key"]).select("src_table", "id", "grp", "text_key")
+    texts = write_once(merged(records.where("id is not null"), wanted, ["src_table", "id"]).select("grp", "text_key", "text").dropDuplicates(["grp", "text_key"]), "texts")
     left = texts.select(F.col("grp").alias("g1"), F.col("text_key").alias("key_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("grp").alias("g2"), F.col("text_key").alias("key_b"), F.col("text").alias("text_b"))
-    full = pairs.join(left, ["g1", "key_a"]).join(right, ["g2", "key_b"])
+    full = merged(merged(pairs, left, ["g1", "key_a"]), right, ["g2", "key_b"])
     checked = full.select("key_a", "key_b", "text_a", "text_b").mapInArrow(_verify, "key_a binary, key_b binary, similarity double")
     return checked.where(F.col("similarity") >= THRESHOLD)
 
@@ -324,17 +341,27 @@ def near_duplicates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of ids of each table: ``src_table, id_a, id_b`` with the smaller id first."""
-    sizes = members.groupBy("src_table", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    m = members.join(sizes, ["src_table", "text_key"])
-    side = lambda s, k: m.select("src_table", F.col("text_key").alias(k), F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), (F.col("id") == F.col("first")).alias(f"f_{s}"))
-    few = (F.col("n_a") * F.col("n_b") <= EXPAND) | (F.col("f_a") & F.col("f_b"))
-    across = pairs.select("key_a", "key_b").distinct().join(side("a", "key_a"), "key_a").join(side("b", "key_b"), ["src_table", "key_b"]).where(few)
-    copies = m.where("n > 1")
-    small = copies.where(F.col("n") * F.col("n") <= EXPAND)
-    inside = small.select("src_table", "text_key", F.col("id").alias("id_a")).join(small.select("src_table", "text_key", F.col("id").alias("id_b")), ["src_table", "text_key"]).where("id_a < id_b")
+    keyed = members.withColumn("k", _key(F.col("text_key")))
+    sizes = keyed.groupBy("k", "src_table").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    side = lambda s: sizes.select(F.col("k").alias(f"k_{s}"), "src_table", F.col("n").alias(f"n_{s}"), F.col("first").alias(f"first_{s}"))
+    ends = pairs.select(_key(F.col("key_a")).alias("k_a"), _key(F.col("key_b")).alias("k_b")).distinct()
+    sized = merged(merged(ends, side("a"), "k_a"), side("b"), ["k_b", "src_table"])
+    many = F.col("n_a") * F.col("n_b") > EXPAND
+    # Only members of small classes are made pairs, so no key has more rows than that.
+    own = lambda s: keyed.select(F.col("k").alias(f"k_{s}"), "src_table", F.col("id").alias(f"id_{s}"))
+    small = merged(merged(sized.where(~many), own("a"), ["k_a", "src_table"]), own("b"), ["k_b", "src_table"]).select("src_table", "id_a", "id_b")
+    firsts = sized.where(many).select("src_table", F.col("first_a").alias("id_a"), F.col("first_b").alias("id_b"))
+    both = small.unionByName(firsts).select("src_table", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    facts = sizes.where("n > 1").select(F.concat_ws("/", "src_table", "k").alias("c"), "n", "first", F.col("n").alias("_refs"))
+    copies = lookup(keyed.select("src_table", "id", F.concat_ws("/", "src_table", "k").alias("c")), facts, "c").where("n > 1")
+    few = copies.where(F.col("n") * F.col("n") <= EXPAND)
+    inside = merged(few.select("src_table", "c", F.col("id").alias("id_a")), few.select("c", F.col("id").alias("id_b")), "c").where("id_a < id_b").select("src_table", "id_a", "id_b")
     star = copies.where((F.col("n") * F.col("n") > EXPAND) & (F.col("id") != F.col("first"))).select("src_table", F.col("first").alias("id_a"), F.col("id").alias("id_b"))
-    both = across.select("src_table", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    return both.unionByName(inside.select("src_table", "id_a", "id_b")).unionByName(star).where("id_a < id_b").distinct()
+    return both.unionByName(inside).unionByName(star).where("id_a < id_b").distinct()
+
+
+def _key(c: Column) -> Column:
+    return F.hex(c)
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -352,11 +379,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each record with its class of equal texts (named by its first id), the class's size and its links to other texts."""
     members, pairs = near_duplicates(_records(spark, d))
-    sizes = members.groupBy("src_table", "text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("class_id"))
-    ends = pairs.select(F.col("key_a").alias("text_key"), F.col("key_b").alias("other")).unionByName(pairs.select(F.col("key_b").alias("text_key"), F.col("key_a").alias("other"))).distinct()
-    links = ends.groupBy("text_key").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(sizes, ["src_table", "text_key"]).join(links, "text_key", "left").select("src_table", "id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = F.concat_ws("/", "src_table", _key(F.col("text_key"))).alias("c")
+    keyed = members.select("src_table", "id", "text_key", named)
+    sizes = keyed.groupBy("c", "text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("class_id"), F.first("src_table").alias("src_table"))
+    ends = pairs.select("key_a", "key_b").unionByName(pairs.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))).distinct()
+    held = sizes.select("src_table", F.col("text_key").alias("key_b"))
+    links = merged(ends, held, "key_b").groupBy("src_table", F.col("key_a").alias("text_key")).agg(F.count(F.lit(1)).alias("n_links"))
+    facts = merged(sizes, links, ["src_table", "text_key"], "left").select("c", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_copies").alias("_refs"))
+    return lookup(keyed.select("src_table", "id", "c"), facts, "c").select("src_table", "id", "class_id", "n_copies", "n_links")
 
 
 QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes}
-SQL: dict[str, str] = {}
+# Texts as compared, their distinct strings, and how many of them two texts have in common, by a plain join.
+_PAIRS = f"""with r as (select 'documents' src_table, doc_key id, text t from documents union all select 'parent_blocks', parent_id, content from parent_blocks),
+ n as (select distinct src_table, id, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) t from r where id is not null and t is not null), c as (select src_table, t, count(distinct id) n_copies, min(id) class_id, row_number() over () k from n where length(t) >= {MIN_CHARS} group by 1, 2),
+ g as (select distinct src_table, k, hash(substring(t, i, {GRAM})) g from c, unnest(range(1, length(t) - {GRAM} + 2)) x(i)), z as (select k, count(*) z from g group by 1),
+ w as (select g.*, z from g join z using (k)), d as (select src_table, a.k ka, b.k kb, count(*) both_, any_value(a.z) za, any_value(b.z) zb from w a join w b using (src_table, g) where a.k < b.k and least(a.z, b.z) >= {THRESHOLD} * greatest(a.z, b.z) group by 1, 2, 3),
+ p as (select * from d where both_ >= {THRESHOLD} * (za + zb - both_)), m as (select n.src_table, n.id, c.k, n_copies, class_id from n join c using (src_table, t))"""
+SQL = {
+    "p6_found": _PAIRS + """ select distinct src_table, least(x, y) as id_a, greatest(x, y) as id_b from (
+ select a.src_table, a.id x, b.id y from p join m a on a.k = ka join m b on b.k = kb union all select a.src_table, a.id, b.id from m a join m b on a.k = b.k and a.id < b.id) where x <> y""",
+    "p6_classes": _PAIRS + """, l as (select k, count(*) n from (select ka k from p union all select kb from p) group by 1)
+ select distinct src_table, id, class_id, n_copies, coalesce(n, 0) as n_links from m left join l using (k)""",
+}

@@ -303,3 +303,35 @@ def test_distance(a, b):
         return d[len(x), len(y)]
 
     assert C.distance(a, b, 2) == min(slow(a, b), 3)
+
+
+def test_recall_just_above_the_threshold():
+    """Of pairs between the threshold and 0.8, how many share an element and pass the filters."""
+    rng = random.Random(21)
+    pairs = []
+    while len(pairs) < 1500:
+        a = N.normal(prose(rng, rng.choice([50, 120, 300])))
+        w = a.split(" ")
+        for k in range(0, len(w), rng.choice([12, 14, 16])):
+            w[k] = "".join(rng.choice("abcdefgh") for _ in range(6))
+        b = " ".join(w)
+        if N.THRESHOLD <= N.jaccard(N.grams(a), N.grams(b)) < 0.8:
+            pairs.append((a, b))
+    _, e, bits = N.signatures([t for p in pairs for t in p])
+    alike = np.bitwise_count(~(bits[0::2] ^ bits[1::2]).view(np.uint64))
+    found = [len(np.intersect1d(e[2 * k], e[2 * k + 1])) > 0 and alike[k] >= N.BITS for k in range(len(pairs))]
+    print("recall", sum(found) / len(found))
+    assert sum(found) / len(found) >= 0.98
+
+
+def test_many_texts_of_one_group(spark, monkeypatch):
+    """A group is parted when its texts are many, and no pair is lost."""
+    monkeypatch.setattr(N, "TEXTS", 3)
+    rows = near_rows()
+    texts = [(t, i, x) for t, i, x in rows if x]
+    sk = N.sketches(spark.createDataFrame(texts, "src_table string, id string, text string")).withColumn("grp", F.lit(7).cast("long") + F.length("src_table"))
+    got = N.parted(sk)
+    most = got.select("grp", "text_key").distinct().groupBy("grp").count().agg(F.max("count")).first()[0]
+    assert got.count() == sk.count() and most < sk.select("text_key").distinct().count() / 3
+    df = spark.createDataFrame(rows, "src_table string, id string, text string")
+    assert {tuple(r) for r in N.expand(*N.near_duplicates(df)).collect()} == brute_pairs(rows)
