@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import labelled_lines as L
-from quern.llm.mojibake import CELLS, PairTable, repair
+from quern.llm.mojibake import PairTable, repair
 from quern.llm.tree import DecisionTree
 from quern.session import table
 
@@ -53,7 +53,7 @@ _COLON = re.compile(r"\s*([^:：\d]{2,24}?)\s?[:：]\s*")
 _YEAR = re.compile(r"\b(?:19|20)\d\d\b")
 #: Signs that text may be garbled; only such lines are repaired before they are judged.
 _STRANGE = re.compile("[ÂÃâ√Γ├┬âÐÑВГ锛鈥銆鍏鐨闃Ã][^ a-zà-ü]|[¡-ÿ]{4,}|鈥|锛|銆|茅|[\u0080-\u009f]")
-_NO_CORPUS = PairTable(np.zeros(CELLS, np.uint8), 1e9)
+_NO_CORPUS = PairTable(np.zeros(1, np.uint16), 1e9)
 
 FEATURES = [
     "known", "known_first", "words", "link_density", "parts", "words_per_part", "odds", "heading", "bullet", "row", "quote", "code", "ends_sentence", "site_links", "web_links", "year", "related",

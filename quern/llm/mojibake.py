@@ -1,8 +1,10 @@
 """Garbled text from wrong character encoding.
 
 1. Pairs of neighbouring characters are counted over the whole text corpus into a
-   table of fixed size; a pair's score is its mutual information: how much more
-   often it stands together than its characters' frequencies let expect.
+   table of hashed cells, whose number follows from how many are filled, up to a
+   bound; a pair's score is its mutual information: how much more often it stands
+   together than its characters' frequencies let expect. A pair is known if it makes
+   up a least share of the corpus, so that chance hits in a full table don't count.
 2. In each record the improbable pairs, those that hold a character beyond ASCII
    and score low, weigh against the probable ones; the maximum-scoring segments of
    that sequence are the suspected runs.
@@ -10,7 +12,7 @@
    encoding that was wrongly used, and again to text by another. A mapping holds if
    its result decodes and is more plausible by the table than what it replaces.
    It is repeated for text that was garbled more than once. A replacement
-   character is what is left of bytes that no longer exist.
+   character, what is left of bytes that no longer exist, is improbable anywhere.
 
 Defined results: null and empty texts are not affected. A record whose original
 can't be had back is affected, and its restored text keeps what can't be mapped.
@@ -22,6 +24,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from quern.llm.textarrays import mix, points_of
 from quern.session import table
 
-#: Cells of the table of counts; each is one byte, so it has 4 MB whatever the corpus.
-CELLS = 1 << 22
+#: Cells that pairs are counted in, two bytes each. A table with less than a fourth of them filled is folded to fewer, but not below ``LEAST``.
+CELLS, LEAST = 1 << 24, 1 << 20
+#: Share of the corpus from which on a pair is known (once at least).
+KNOWN = 1e-8
 #: Characters rarer than this count as this frequent, so that chance pairs of rare ones don't look bound together.
 RARE = 1e-3
 #: Pairs never seen count as this often.
@@ -43,8 +48,8 @@ UNSEEN = 0.05
 BOUND = 0.0
 #: What a pair of ASCII characters weighs against a run.
 PLAIN = -1.5
-#: Counts are kept as logarithms in steps of this size.
-STEP = 12.0
+#: Counts are kept as logarithms in so many steps each, which two bytes hold for any count.
+STEP = 1000.0
 
 #: Encodings that text is wrongly read in: one byte a character (fixed names).
 SINGLE = ["cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "cp850", "cp1250", "iso8859_15", "koi8_r", "cp866"]
@@ -80,15 +85,19 @@ def cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class PairTable:
-    """Counts of pairs and characters, as bytes of logarithms."""
+    """Counts of pairs and characters as logarithms; the number of cells is a power of two."""
 
     def __init__(self, logs: np.ndarray, total: float) -> None:
         self.logs, self.total = logs, max(total, 1.0)
+        self.least = 1 + STEP * np.log(max(1.0, KNOWN * self.total))
         #: Verdicts by this table on runs with their neighbours.
         self.memo: dict[tuple[str, str, str], str | None] = {}
 
+    def _at(self, cell: np.ndarray) -> np.ndarray:
+        return self.logs[cell & (len(self.logs) - 1)]
+
     def log_count(self, cell: np.ndarray) -> np.ndarray:
-        v = self.logs[cell].astype(np.float32)
+        v = self._at(cell).astype(np.float32)
         return np.where(v > 0, (v - 1) / STEP, np.log(UNSEEN))
 
     def information(self, x: np.ndarray) -> np.ndarray:
@@ -97,12 +106,12 @@ class PairTable:
         return self.log_count(cells(x[:-1], x[1:])) + np.log(self.total) - alone[:-1] - alone[1:]
 
     def seen(self, text: str) -> float:
-        """The share of pairs with a character beyond ASCII that the corpus has."""
+        """The share of pairs with a character beyond ASCII that are known from the corpus."""
         x = points_of(text)
         if len(x) < 2:
             return 0.0
         far = (x[:-1] > 127) | (x[1:] > 127)
-        return float((self.logs[cells(x[:-1], x[1:])[far]] > 0).mean()) if far.any() else 0.0
+        return float((self._at(cells(x[:-1], x[1:])[far]) >= self.least).mean()) if far.any() else 0.0
 
 
 def segments(weights: np.ndarray) -> list[tuple[int, int]]:
@@ -140,7 +149,7 @@ def suspects(text: str, pairs: PairTable) -> list[tuple[int, int]]:
     """Runs of characters that are improbable next to each other."""
     x = points_of(text)
     if len(x) < 2 or not (x > 127).any():
-        return []
+        return [(0, 1)] if text == LOST else []
     far = (x[:-1] > 127) | (x[1:] > 127)
     weights = np.full(len(x) - 1, PLAIN, np.float32)
     at = np.flatnonzero(far)
@@ -149,6 +158,8 @@ def suspects(text: str, pairs: PairTable) -> list[tuple[int, int]]:
     alone[near] = np.maximum(pairs.log_count(cells(x[near], np.zeros_like(x[near]))), np.log(RARE * pairs.total))
     both = pairs.log_count(cells(x[at], x[at + 1])) + np.log(pairs.total)
     weights[at] = BOUND - (both - alone[at] - alone[at + 1])
+    lost = (x[:-1] == ord(LOST)) | (x[1:] == ord(LOST))
+    weights[lost] = np.maximum(weights[lost], 1.0)
     out = []
     for i, j in segments(weights):
         j += 1
@@ -281,6 +292,7 @@ def repair(text: str | None, pairs: PairTable) -> tuple[bool, str | None]:
     for _ in range(4):
         out, done, changed = [], 0, False
         for i, j in suspects(text, pairs):
+            affected |= LOST in text[i:j]
             for a, b in _pieces(text[i:j]):
                 for lo, hi in _trials(text, i + a, i + b):
                     got = _remembered(text[lo:hi], pairs, text[max(0, lo - 1) : lo], text[hi : hi + 1])
@@ -293,7 +305,7 @@ def repair(text: str | None, pairs: PairTable) -> tuple[bool, str | None]:
             break
         affected = True
         text = "".join(out) + text[done:]
-    return affected or LOST in text, text
+    return affected, text
 
 
 def _trials(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
@@ -321,7 +333,7 @@ def _trials(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
 
 
 def pair_table(corpus: DataFrame, text_col: str = "text") -> PairTable:
-    """Count pairs over all texts. Tasks add up their own counts first; the driver gets the fixed-size table."""
+    """Count pairs over all texts. Tasks add up their own counts first; the driver gets the table, whose size is bounded by its cells."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -330,7 +342,7 @@ def pair_table(corpus: DataFrame, text_col: str = "text") -> PairTable:
             x = np.concatenate(held)
             cell = np.concatenate([cells(x[:-1], x[1:])[(x[:-1] != 0) & (x[1:] != 0)], cells(x, np.zeros_like(x))[x != 0]])
             u, n = np.unique(cell.astype(np.int32), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n, pa.int64()), pa.array(np.full(len(u), 0, np.int64))], ["cell", "n", "chars"])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n, pa.int64())], ["cell", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -339,31 +351,40 @@ def pair_table(corpus: DataFrame, text_col: str = "text") -> PairTable:
                     size += len(t)
                     if size > 4_000_000:
                         yield flush()
-                        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([size], pa.int64()), pa.array([0], pa.int64())], ["cell", "n", "chars"])
+                        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([size], pa.int64())], ["cell", "n"])
                         held, size = [], 0
         if held:
             yield flush()
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([size], pa.int64()), pa.array([0], pa.int64())], ["cell", "n", "chars"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([size], pa.int64())], ["cell", "n"])
 
-    per_cell = corpus.select(text_col).mapInArrow(count, "cell int, n long, chars long").groupBy("cell").agg(F.sum("n").alias("n"))
+    per_cell = corpus.select(text_col).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf.block.iloc[0])
-        logs = np.zeros(1 << 16, np.uint8)
+        logs = np.zeros(1 << 16, np.uint16)
         if block >= 0:
-            logs[pdf.cell.to_numpy() & 0xFFFF] = np.minimum(255, 1 + np.rint(np.log(pdf.n.to_numpy()) * STEP))
-        return pd.DataFrame({"block": [block], "logs": [logs.tobytes()], "n": [int(pdf.n.sum())]})
+            logs[pdf.cell.to_numpy() & 0xFFFF] = _logs(pdf.n.to_numpy())
+        return pd.DataFrame({"block": [block], "logs": [zlib.compress(logs.tobytes(), 1)], "n": [int(pdf.n.sum())], "cells": [len(pdf)]})
 
-    logs, total = np.zeros(CELLS, np.uint8), 0
-    packed = per_cell.withColumn("block", F.expr("if(cell < 0, -1, cell div 65536)").cast("long")).groupBy("block").applyInPandas(pack, "block long, logs binary, n long")
+    logs, total, full = np.zeros(CELLS, np.uint16), 0, 0
+    packed = per_cell.withColumn("block", F.expr("if(cell < 0, -1, cell div 65536)").cast("long")).groupBy("block").applyInPandas(pack, "block long, logs binary, n long, cells long")
     for r in packed.collect():
         if r.block < 0:
             total = r.n
         else:
-            logs[r.block << 16 : r.block + 1 << 16] = np.frombuffer(r.logs, np.uint8)
+            logs[r.block << 16 : r.block + 1 << 16] = np.frombuffer(zlib.decompress(r.logs), np.uint16)
+            full += r.cells
+    while len(logs) > LEAST and full * 8 < len(logs):
+        half = len(logs) // 2
+        both = np.logaddexp(*[np.where(x > 0, (x - 1.0) / STEP, -np.inf) for x in (logs[:half], logs[half:])])
+        logs = np.where(np.isfinite(both), 1 + np.rint(both * STEP), 0).astype(np.uint16)
     return PairTable(logs, total)
 
 
+def _logs(n: np.ndarray) -> np.ndarray:
+    return (1 + np.rint(np.log(n) * STEP)).astype(np.uint16)
+
+
 def find_garbled(records: DataFrame, pairs: PairTable, garbled_only: bool = True) -> DataFrame:
     """Affected records of ``records`` (any columns, the last being the text): those columns, ``affected`` and ``restored``.
 

@@ -91,8 +91,8 @@ def pairs():
     x = np.concatenate([np.concatenate([points_of(t), np.zeros(1, np.uint32)]) for t in CORPUS])
     cell = np.concatenate([M.cells(x[:-1], x[1:])[(x[:-1] != 0) & (x[1:] != 0)], M.cells(x, np.zeros_like(x))[x != 0]])
     u, n = np.unique(cell, return_counts=True)
-    logs = np.zeros(M.CELLS, np.uint8)
-    logs[u] = np.minimum(255, 1 + np.rint(np.log(n) * M.STEP))
+    logs = np.zeros(M.CELLS, np.uint16)
+    logs[u] = M._logs(n)
     return M.PairTable(logs, 1e6)
 
 
@@ -145,7 +145,7 @@ def test_maximal_segments(values):
 
 
 def test_verdicts_belong_to_their_table(pairs):
-    nothing = M.PairTable(np.zeros(M.CELLS, np.uint8), 1e9)
+    nothing = M.PairTable(np.zeros(M.CELLS, np.uint16), 1e9)
     proved = 0
     for word in ("水位", "记录", "裂缝", "编号"):
         bad = word.encode("gb18030").decode("latin-1")
@@ -156,6 +156,34 @@ def test_verdicts_belong_to_their_table(pairs):
     assert proved
 
 
+def test_a_full_table(pairs):
+    """Cells all filled by chance, as a corpus of all the web would, leave the verdicts as they are."""
+    total = 1e13
+    background = M._logs(np.full(M.CELLS, total * M.KNOWN / 4))
+    logs = np.where(pairs.logs > 0, pairs.logs + M.STEP * np.log(total / pairs.total), 0)
+    full = M.PairTable(np.maximum(background, logs).astype(np.uint16), total)
+    zh = "水位管的读数记录在编号文件中"
+    assert full.logs.min() > 0
+    assert M.repair(zh.encode("gb18030").decode("latin-1"), full)[1] == zh
+    assert M.repair(zh, full) == (False, zh) and M.repair("die Höhe", full) == (False, "die Höhe")
+    assert M.repair("Don’t".encode().decode("cp1252"), full) == (True, "Don’t")
+    assert M.repair("a � b", full)[0] and M.repair(M.LOST, full)[0]
+
+
+def test_order_of_queries_does_not_matter(spark, tmp_path):
+    """Encoding repair within the page queries leaves nothing behind for others in the same workers."""
+    text = "die große Höhe der Häuser am Gerät. " * 4
+    bad = text.encode("cp1252").decode("mac_roman")
+    rows = [(i, True, "html", "t", bad if i % 2 else text, "h", None) for i in range(20)]
+    spark.createDataFrame(rows, "conv_id long, ok boolean, kind string, title string, markdown string, host string, converted_at timestamp").write.parquet(f"{tmp_path}/conversion_results.parquet")
+    spark.createDataFrame([(i, text, "ok") for i in range(50)], "doc_id long, text string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "conv_id long, title string").write.parquet(f"{tmp_path}/capture_results.parquet")
+    first = {tuple(r) for r in M.p4_found(spark, str(tmp_path)).collect()}
+    B.p2_found(spark, str(tmp_path)).count()
+    again = {tuple(r) for r in M.p4_found(spark, str(tmp_path)).collect()}
+    assert first == again == {("conversion_results", i) for i in range(1, 20, 2)}
+
+
 def test_garbled_rows(spark):
     docs = spark.createDataFrame([(t, "x") for t in CORPUS] + [(None, None), ("", "")], "text string, cell string")
     table = M.pair_table(docs)
