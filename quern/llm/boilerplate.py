@@ -1,14 +1,16 @@
 """Page boilerplate mixed with main content.
 
 A page is a row of lines; lines without a blank one between them are a block. Each
-line has its number of words, its link density and how much of it is known from
-the labelled table, and the same of the lines and blocks beside it. A decision
-tree trained on the small labelled table tells furniture from article. A page is
+line has its number of words, its link density and how much of its wording is known
+from the labelled table, and the same of the lines and blocks beside it. A decision
+tree trained on the small labelled table tells furniture from article. A third of
+the training pages is seen without any known wording, so the tree judges pages of
+sites that word their furniture otherwise by form and neighbours alone. A page is
 judged by itself, in one pass without shuffle, however many pages there are.
 
-A page's own title is its first top heading that is not furniture. A captured
-title holds more if it contains the own title and something else; for a page
-without such a heading, the parts that name a site or a section are looked for.
+A page's own title is its first top heading that is not furniture. A second tree,
+trained on titles of the labelled table, tells by how a captured title compares
+with the own one, by its parts and marks, whether it holds more.
 
 Defined results: null and empty pages have no lines; blank lines are neither
 furniture nor article. Repeated rows and pages converted again are judged alike.
@@ -23,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,12 @@ from pyspark.sql import functions as F
 from quern.llm import labelled_lines as L
 from quern.llm.mojibake import PairTable, repair
 from quern.llm.tree import DecisionTree
-from quern.session import table
+from quern.operators.skew import merged
+from quern.session import table, write_once
 
 #: Pages of the labelled table the tree is trained on (the bound of the sample).
-TRAINING_PAGES = 1500
-#: Share of the known phrases that is hidden in half of the training pages.
+TRAINING_PAGES = 2100
+#: Share of the known phrases that is hidden in a third of the training pages; in another third all are.
 HIDDEN = 0.15
 #: A line is furniture if at least this share of its leaf is: losing text of the article is the worse error.
 CUT = 0.8
@@ -51,6 +55,9 @@ _END = re.compile(r"[.。!?！？;；”»\"]\s*$")
 _DIGITS = re.compile(r"\d+")
 _COLON = re.compile(r"\s*([^:：\d]{2,24}?)\s?[:：]\s*")
 _YEAR = re.compile(r"\b(?:19|20)\d\d\b")
+_TITLE_PARTS = re.compile(r"\s+[|–·-]\s+|\s+::\s+|_|\s+»\s+")
+_TITLE_LEAD = re.compile(r"([^:：]{3,40}):\s+\S")
+_FOOT = re.compile(r"©|copyright|\d{4}", re.I)
 #: Signs that text may be garbled; only such lines are repaired before they are judged.
 _STRANGE = re.compile("[ÂÃâ√Γ├┬âÐÑВГ锛鈥銆鍏鐨闃Ã][^ a-zà-ü]|[¡-ÿ]{4,}|鈥|锛|銆|茅|[\u0080-\u009f]")
 _NO_CORPUS = PairTable(np.zeros(1, np.uint16), 1e9)
@@ -58,7 +65,7 @@ _NO_CORPUS = PairTable(np.zeros(1, np.uint16), 1e9)
 FEATURES = [
     "known", "known_first", "words", "link_density", "parts", "words_per_part", "odds", "heading", "bullet", "row", "quote", "code", "ends_sentence", "site_links", "web_links", "year", "related",
     "since_related", "lines", "block_words", "block_links", "block_known", "block_odds", "before_words", "before_known", "before_odds", "after_words", "after_known", "after_odds", "prev_known", "next_known",
-    "prev_words", "next_words", "place", "from_end", "after_title", "after_source",
+    "prev_words", "next_words", "place", "from_end", "after_title", "after_source", "page_known", "page_words",
 ]
 
 
@@ -85,33 +92,48 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+class Wording(NamedTuple):
+    """What is known of the wording of furniture; empty for a site that words it otherwise."""
+
+    kinds: dict[str, set[str]]
+    odds: dict[str, float]
+    related: frozenset[str]
+    sources: frozenset[str]
+    sites: tuple[str, ...]
+
+
+NO_WORDING = Wording({}, {}, frozenset(), frozenset(), ())
+TITLE_FEATURES = ["equal", "contains", "none_own", "lost_own", "counter", "path", "parts", "known_part", "site_part", "foot_part", "extra_words"]
+
+
 class PageModel:
-    """What the labelled table teaches: known phrases, words' log odds, and the tree."""
+    """What the labelled table teaches: the wording of furniture, and a tree for lines and one for titles."""
 
     def __init__(self, pages: int = TRAINING_PAGES) -> None:
         phrases = L.furniture_phrases()
-        self.kinds: dict[str, set[str]] = {}
+        kinds: dict[str, set[str]] = {}
         for kind, own in phrases.items():
             for p in sorted(own):
                 for part in [p, *_PARTS.split(p)]:
-                    self.kinds.setdefault(plain(part), set()).add(kind)
-        self.related = {plain(p) for p in phrases["related"]}
-        self.sources = {plain(w) for a in L.ARTICLE.values() for w in a["sources"].split("|")}
-        self.sites = tuple(L.SITE_WORDS.split("|"))
-        self.site_ends = tuple(w.casefold() for w in self.sites)
+                    kinds.setdefault(plain(part), set()).add(kind)
         labelled = L.training_pages(pages)
-        self._odds = self._word_odds(labelled)
+        sites = L.SITE_WORDS.split("|")
+        whole = Wording(kinds, self._word_odds(labelled), frozenset(plain(p) for p in phrases["related"]), frozenset(plain(w) for a in L.ARTICLE.values() for w in a["sources"].split("|")), tuple(w.casefold() for w in sites))
         x, y = [], []
-        whole, rng = self.kinds, random.Random(11)
+        rng = random.Random(11)
         for k, page in enumerate(labelled):
-            # In half of the pages a share of the phrases is taken for unknown, so that the tree learns form and neighbours too.
-            self.kinds = whole if k % 2 else {p: whole[p] for p in sorted(whole) if rng.random() > HIDDEN}
+            self.wording = [whole, NO_WORDING, whole._replace(kinds={p: kinds[p] for p in sorted(kinds) if rng.random() > HIDDEN})][k % 3]
             self._line = self._judge_line
             f, at = self.features([t for t, _ in page])
             x.append(f)
             y += [page[i][1] for i in at]
-        self.kinds, self._line = whole, lru_cache(maxsize=40_000)(self._judge_line)
-        self.tree = DecisionTree(depth=8, leaf=60).fit(np.concatenate(x), np.array(y))
+        self.tree = DecisionTree(depth=12, leaf=30).fit(np.concatenate(x), np.array(y))
+        self.use(whole)
+        titles = L.training_titles(pages)
+        self.titles = DecisionTree(depth=6, leaf=10).fit(np.array([self.title_features(*t) for t, _ in titles]), np.array([more for _, more in titles]))
+
+    def use(self, wording: Wording) -> None:
+        self.wording, self._line = wording, lru_cache(maxsize=40_000)(self._judge_line)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_line"}
@@ -142,18 +164,19 @@ class PageModel:
         buttons = _BUTTON.findall(body)
         parts = [p for p in (plain(p) for p in (buttons if buttons and len(buttons) > 1 else _PARTS.split(body.strip("| ")))) if p]
         whole = plain(body)
-        hits = [p in self.kinds or p.endswith(self.site_ends) for p in parts]
-        known = 1.0 if whole in self.kinds else (sum(hits) / len(hits) if hits else 0.0)
+        has = self.wording
+        hits = [p in has.kinds or p.endswith(has.sites) for p in parts]
+        known = 1.0 if whole in has.kinds else (sum(hits) / len(hits) if hits else 0.0)
         colon = _COLON.match(body)
         lead = plain(colon.group(1)) if colon else ""
-        kinds = self.kinds.get(lead, set())
+        kinds = has.kinds.get(lead, set())
         if colon and kinds & {"tags", "read", "related", "end"}:
             known = 1.0
         first = 1.0 if hits and hits[0] else 0.0
         toks = tokens(body)
-        odds = sum(self._odds.get(t, 0.0) for t in toks) / len(toks) if toks else 0.0
+        odds = sum(has.odds.get(t, 0.0) for t in toks) / len(toks) if toks else 0.0
         if text.lstrip().startswith("#"):
-            known = float(whole in self.related)  # an article may have a section on the site's plan
+            known = float(whole in has.related)  # an article may have a section on the site's plan
             odds = odds if known else 0.0
         if not toks and re.fullmatch(r"[\s|:\-]+", text):
             known = -1.0  # the rule of a table: judged by its rows
@@ -165,7 +188,7 @@ class PageModel:
         return (
             known, first, n, density, float(len(parts)), n / max(1, len(parts)), odds, float(s.startswith("#")), float(bool(re.match(r"[-*+]\s|\d+[.)]\s", s))), float(s.startswith("|")), float(s.startswith(">")), 0.0,
             float(bool(_END.search(body))), float(inner), float(len(links) - inner), float(bool(_YEAR.search(body)) and n < 12),
-            float(whole in self.related or lead in self.related and body.strip().endswith((":", "："))), float(s.startswith("#") and whole in self.sources),
+            float(whole in has.related or lead in has.related and body.strip().endswith((":", "："))), float(s.startswith("#") and whole in has.sources),
         )
 
     def features(self, lines: list[str]) -> tuple[np.ndarray, list[int]]:
@@ -227,9 +250,11 @@ class PageModel:
         b_known = np.maximum(b_known, np.maximum.reduceat(related, starts))
         top = np.cumsum([lines[i].startswith("# ") for i in at]) > 0
         place = np.arange(n) / max(1, n - 1)
+        page = np.ones(n)
         f = np.column_stack(
             [own, related, since, size[block], b_words[block], b_links[block], b_known[block], b_odds[block], beside(b_words, -1), beside(b_known, -1), beside(b_odds, -1), beside(b_words, 1), beside(b_known, 1),
-             beside(b_odds, 1), line_beside(0, -1), line_beside(0, 1), line_beside(2, -1), line_beside(2, 1), np.minimum(np.arange(n), 40.0), np.minimum(n - 1.0 - np.arange(n), 40.0), top.astype(float), source]
+             beside(b_odds, 1), line_beside(0, -1), line_beside(0, 1), line_beside(2, -1), line_beside(2, 1), np.minimum(np.arange(n), 40.0), np.minimum(n - 1.0 - np.arange(n), 40.0), top.astype(float), source,
+             page * own[:, 0].mean(), page * np.median(own[:, 2])]
         )
         return f, at
 
@@ -249,32 +274,28 @@ class PageModel:
                 return t[2:].strip()
         return None
 
-    def title_holds_more(self, title: str, own: str | None, lines: list[str], furniture: list[int]) -> bool:
-        """Whether a captured title has more than the own title of its page."""
+    def title_features(self, title: str, own: str | None, feet: list[str]) -> list[float]:
+        """How a captured title compares with the page's own (if there is one), and what its parts and the page's furniture say."""
         squeeze = lambda t: " ".join(t.casefold().split())
-        t = squeeze(title)
-        if not t:
+        t, o = squeeze(title), squeeze(own) if own and "�" not in own else ""
+        pieces = [p.strip() for p in _TITLE_PARTS.split(title.strip())]
+        lead = _TITLE_LEAD.match(title.strip())
+        beside = pieces[1:] + ([lead.group(1).strip()] if lead else [])
+        known = any(plain(p) in self.wording.kinds for p in [*beside, pieces[0]][: len(beside) + (len(pieces) > 1)])
+        site = any(p.casefold().endswith(self.wording.sites) for p in beside) if self.wording.sites else False
+        foot = any(len(p) >= 3 and p in x for p in beside for x in feet)
+        extra = count_words(t.replace(o, " ", 1)) if o and o in t else 0.0
+        return [float(bool(o) and t == o), float(bool(o) and o in t), float(not o), float(bool(o) and o not in t), float(bool(re.match(r"\(\d+\)\s+\S", title.strip()))), float(" » " in title), float(len(pieces)), float(known), float(site), float(foot), extra]
+
+    def feet(self, lines: list[str], furniture: list[int]) -> list[str]:
+        """Furniture lines with a year or a copyright mark, which name the site."""
+        return [lines[i - 1] for i in furniture if _FOOT.search(lines[i - 1])]
+
+    def title_holds_more(self, title: str, own: str | None, feet: list[str]) -> bool:
+        """Whether a captured title has more than the own title of its page."""
+        if not title.strip():
             return False
-        if own and "�" not in own:
-            o = squeeze(own)
-            if t == o:
-                return False
-            if o in t:
-                return True
-        if re.match(r"\(\d+\)\s+\S", title.strip()):
-            return True
-        if " » " in title:
-            return True
-        ends = re.split(r"\s+[|–·-]\s+|\s+::\s+|_", title.strip())
-        begin = re.match(r"([^:：]{3,40}):\s+\S", title.strip())
-        beside = [e.strip() for e in (ends[1:] if len(ends) > 1 else [])] + ([begin.group(1).strip()] if begin else [])
-        text = "\n".join(lines[i - 1] for i in furniture)
-        for p in beside:
-            if p.endswith(self.sites) or plain(p) in self.kinds:
-                return True
-            if len(p) >= 3 and any(re.search(r"(?:©|copyright|\d{4})", x, re.I) and p in x for x in text.split("\n")):
-                return True
-        return False
+        return bool(self.titles.predict(np.array([self.title_features(title, own, feet)]))[0] >= 0.5)
 
 
 _MODEL: list[PageModel] = []
@@ -287,25 +308,40 @@ def model() -> PageModel:
     return _MODEL[0]
 
 
-def furniture_lines(pages: DataFrame) -> DataFrame:
-    """``conv_id, line_no`` of furniture of ``conv_id, markdown, titles`` (array); line 0 if some title holds more than the own one."""
+def furniture_lines(pages: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """``conv_id, line_no`` of furniture of ``conv_id, markdown``; line 0 if some title of ``captures`` (``conv_id, title``) holds more than the own one.
 
+    Texts are not shuffled: titles meet what a page says of its own title.
+    """
     held = pages.sparkSession.sparkContext.broadcast(model())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            ids, numbers = [], []
-            for i, text, titles in zip(*[c.to_pylist() for c in b.columns]):
+            ids, numbers, owns, feet = [], [], [], []
+            for i, text in zip(*[c.to_pylist() for c in b.columns]):
                 bad, lines = m.furniture(text or "")
-                own = m.own_title(lines, bad)
-                if any(m.title_holds_more(t, own, lines, bad) for t in titles or [] if t):
-                    bad = [0, *bad]
-                ids += [i] * len(bad)
-                numbers += bad
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], ["conv_id", "line_no"])
+                ids += [i] * (len(bad) + 1)
+                numbers += [0, *bad]
+                owns += [m.own_title(lines, bad)] + [None] * len(bad)
+                feet += [m.feet(lines, bad)] + [None] * len(bad)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(owns, pa.string()), pa.array(feet, pa.list_(pa.string()))], ["conv_id", "line_no", "own", "feet"])
+
+    found = pages.select("conv_id", "markdown").mapInArrow(lines_of, "conv_id long, line_no int, own string, feet array<string>")
+    if captures is None:
+        return found.where("line_no > 0").select("conv_id", "line_no")
+    found = write_once(found, "furniture")
+
+    def titles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            more = [m.title_holds_more(t, own, feet or []) for t, own, feet in zip(*[c.to_pylist() for c in b.columns[1:]])]
+            ids = b.column(0).filter(pa.array(more, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(len(ids), np.int32))], ["conv_id", "line_no"])
 
-    return pages.select("conv_id", "markdown", "titles").mapInArrow(run, "conv_id long, line_no int")
+    titles = captures.where("conv_id is not null and title is not null").select("conv_id", "title").distinct()
+    met = merged(found.where("line_no = 0").distinct(), titles, "conv_id").select("conv_id", "title", "own", "feet")
+    return found.where("line_no > 0").select("conv_id", "line_no").unionByName(met.mapInArrow(titles_of, "conv_id long, line_no int"))
 
 
 def main_content(pages: DataFrame) -> DataFrame:
@@ -330,15 +366,13 @@ def main_content(pages: DataFrame) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """Web pages converted without error, equal rows as one."""
-    c = table(spark, d, "conversion_results").where("kind = 'html' and ok and markdown <> ''")
-    return c.select("conv_id", "markdown").dropDuplicates(["conv_id", "markdown"])
+    """Web pages converted without error; equal rows are judged alike and give equal lines."""
+    return table(spark, d, "conversion_results").where("kind = 'html' and ok and markdown <> ''").select("conv_id", "markdown")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Furniture lines of every page, and line 0 for captured titles with more than the page's own."""
-    titles = table(spark, d, "capture_results").where("conv_id is not null and title is not null").groupBy("conv_id").agg(F.collect_set("title").alias("titles"))
-    return furniture_lines(_pages(spark, d).join(titles, "conv_id", "left")).distinct()
+    return furniture_lines(_pages(spark, d), table(spark, d, "capture_results")).distinct()
 
 
 def p2_content(spark: SparkSession, d: str) -> DataFrame:

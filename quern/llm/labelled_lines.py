@@ -293,3 +293,26 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
 def training_pages(n: int, seed: int = 7) -> list[list[tuple[str, int]]]:
     rng = random.Random(seed)
     return [training_page(rng) for _ in range(n)]
+
+
+def training_titles(n: int, seed: int = 13) -> list[tuple[tuple[str, str | None, list[str]], int]]:
+    """Captured titles with the page's own (or none) and its foot lines: 1 if the captured one holds more."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        lang = rng.choice(sorted(ARTICLE))
+        art = ARTICLE[lang]
+        own = rng.choice(art["title"].split("|")).replace("{t}", rng.choice(art["terms"].split("|")))
+        site = rng.choice(["Tor", "Har", "Sol"]) + rng.choice(["mir", "el", "wex"]) + " " + rng.choice(SITE_WORDS.split("|")[:4]) if lang != "zh" else rng.choice("溪岚霞槐") + rng.choice("砚泽川禾") + rng.choice(SITE_WORDS.split("|")[4:8])
+        named = site if rng.random() < 0.8 else "Vorsel 7"
+        a, b = rng.sample(words(SECTIONS, lang), 2)
+        feet = [f"© 2021 {named}"] if rng.random() < 0.7 else []
+        sep = rng.choice([" - ", " – ", " | ", " · ", " :: ", "_"])
+        titled, more = rng.choice(
+            [(own, 0), (own.upper(), 0), (f" {own}  ", 0), (own, 0), (f"{own}{sep}{named}", 1), (f"{own}{sep}{a} · {named}", 1), (f"{named}: {own}", 1), (f"({rng.randint(1, 9)}) {own}", 1), (f"({rng.randint(1, 9)}) {own}{sep}{named}", 1), (f"{a} » {b} » {own}", 1), (f"{a}{sep}{own}", 1)]
+        )
+        page = own if rng.random() < 0.7 else None if rng.random() < 0.7 else own.replace("e", "�", 1)
+        if rng.random() < 0.1:  # the page was captured under another title, or in another way of writing
+            page = rng.choice(art["title"].split("|")).replace("{t}", rng.choice(art["terms"].split("|")))
+        out.append(((titled, page, feet), more))
+    return out

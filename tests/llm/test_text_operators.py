@@ -250,6 +250,22 @@ Manage preferences
 Copyright 2020–2023 Tormir Works"""
 
 
+def test_pages_of_unknown_wording():
+    """Without any phrase or word it was trained on, form and neighbours still tell most furniture."""
+    m = B.PageModel()
+    m.use(B.NO_WORDING)
+    hit = got = want = 0
+    for page in L.training_pages(400, seed=77):
+        f, at = m.features([t for t, _ in page])
+        bad = m.tree.predict(f) >= B.CUT
+        label = np.array([page[i][1] == 1 for i in at])
+        hit, got, want = hit + (bad & label).sum(), got + bad.sum(), want + label.sum()
+    print("unknown wording: recall", hit / want, "precision", hit / got)
+    assert hit / want > 0.8 and hit / got > 0.95
+    used = {B.FEATURES[k] for k in m.tree.feature if k >= 0}
+    assert {"words", "link_density", "before_words", "after_words"} <= used
+
+
 def test_a_page(model):
     lines = PAGE.split("\n")
     bad = {lines[i - 1] for i in model.furniture(PAGE)[0]}
@@ -263,13 +279,16 @@ def test_titles(model, title, more):
     bad, lines = model.furniture(PAGE)
     own = model.own_title(lines, bad)
     assert own == "The gate"
-    assert model.title_holds_more(title, own, lines, bad) is more
+    assert model.title_holds_more(title, own, model.feet(lines, bad)) is more
 
 
 def test_boilerplate_rows(spark):
-    df = spark.createDataFrame([(1, PAGE, ["The gate - Tormir Works", None]), (2, "", None), (3, None, []), (4, "\n\n", None), (5, "word " * 50_000, None)], "conv_id long, markdown string, titles array<string>")
-    got = B.furniture_lines(df.withColumn("line_no", F.lit("clash"))).collect()
+    df = spark.createDataFrame([(1, PAGE), (1, PAGE), (2, ""), (3, None), (4, "\n\n"), (5, "word " * 50_000)], "conv_id long, markdown string")
+    titles = spark.createDataFrame([(1, "The gate - Tormir Works", 1), (1, None, 2), (2, "", 3), (3, "the gate", 4), (None, "x | y", 5), (9, "Home » x", 6)], "conv_id long, title string, own int")
+    got = B.furniture_lines(df.withColumn("line_no", F.lit("clash")), titles).collect()
     assert {r.conv_id for r in got} == {1} and 0 in {r.line_no for r in got}
+    assert {tuple(r) for r in B.furniture_lines(df).distinct().collect()} == {tuple(r) for r in got if r.line_no}
+    assert B.furniture_lines(df, titles.where("false")).where("line_no = 0").count() == 0
     body = {r.conv_id: r.content for r in B.main_content(df).collect()}
     assert body[1].startswith("# The gate") and "Most read" not in body[1] and body[3] is None and body[2] == ""
     assert B.furniture_lines(df.where("false")).count() == 0
