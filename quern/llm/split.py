@@ -3,7 +3,8 @@
 Recursive bisection: a stretch longer than the room is cut at the strongest
 boundary near its midpoint, and both halves are treated alike until each fits.
 The room is the limit less the overlap, so that the overlap, attached last, never
-takes a piece over the limit. The first piece has none.
+takes a piece over the limit. The first piece has none. Where the window around the
+midpoint has no boundary, the nearest one outside it is taken before a word is cut.
 
 Defined results: lengths are code points. A null or empty item, or one within the
 limit, is one piece as it stands (null stays null). A text without any boundary is
@@ -66,6 +67,11 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
             near = [e for e in ends[max(0, k - 1) : k + 1] if first <= e <= last]
             if near:
                 return min(near, key=lambda e: (abs(e - mid), e))
+        for ends in levels:
+            k = bisect_left(ends, mid)
+            near = [e for e in ends[max(0, k - 1) : k + 1] if lo < e < hi]
+            if near:
+                return min(near, key=lambda e: (abs(e - mid), e))
         for step in range(last - first + 1):
             for at in (mid + step, mid - step):
                 if first <= at <= last and not _unbreakable(text, at):
@@ -138,9 +144,19 @@ TABLES = {"parent_blocks": "parent_id", "chunks": "chunk_id"}
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """All pieces of all items of both tables; repeated rows of an item give its pieces once."""
-    parts = [split_items(_items(spark, d, t, k)).withColumn("src_table", F.lit(t)) for t, k in TABLES.items()]
-    return parts[0].unionByName(parts[1]).distinct()
+    """All pieces of all items of both tables; repeated rows of an item are cut once."""
+    parts = [split_items(_items(spark, d, t, k).distinct()).withColumn("src_table", F.lit(t)) for t, k in TABLES.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Items put together again from their pieces without the overlaps, as a digest, and whether each piece is within its limit."""
+    limits = table(spark, d, "size_limits").select(F.col("item_table").alias("src_table"), "max_chars")
+    p = p5_pieces(spark, d).join(F.broadcast(limits), "src_table")
+    own = F.substring("content", F.length("content") - (F.col("end_char") - F.col("start_char")) + 1, F.col("end_char") - F.col("start_char"))
+    # An item repeated under another section path is put together once for each.
+    parts = p.groupBy("src_table", "item_id", F.coalesce("section_path", F.lit("")).alias("s")).agg(F.array_sort(F.collect_set(F.struct("piece_no", own.alias("t")))).alias("a"), F.max(F.length("content") > F.col("max_chars")).alias("over"))
+    return parts.select("src_table", "item_id", F.md5(F.array_join(F.transform("a", lambda x: x.t), "")).alias("digest"), F.coalesce(~F.col("over"), F.lit(True)).alias("fits")).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -149,8 +165,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt}
 SQL = {
+    "p5_rebuilt": """select distinct src_table, item_id, md5(coalesce(content, '')) as digest, true as fits from (
+ select 'parent_blocks' src_table, parent_id item_id, content from parent_blocks union all select 'chunks', chunk_id, content from chunks)""",
     "p5_found": """
 select distinct src_table, item_id from (
  select 'parent_blocks' src_table, parent_id item_id, content from parent_blocks union all select 'chunks', chunk_id, content from chunks) x

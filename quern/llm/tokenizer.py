@@ -21,6 +21,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.session import table
@@ -167,5 +168,21 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
-SQL: dict[str, str] = {}
+def decode(df: DataFrame, id_col: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
+    """``id_col`` and ``text`` of ids by the inverse mapping; no shuffle. Null ids and no ids give an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], [id_col, "text"])
+
+    return df.select(id_col, "ids").mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("text", T.StringType())]))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text, encoded and decoded again, as a digest."""
+    return decode(p7_ids(spark, d)).select("doc_id", F.md5("text").alias("digest"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded}
+SQL = {"p7_decoded": "select doc_id, md5(coalesce(text, '')) as digest from documents"}

@@ -74,6 +74,13 @@ def test_pieces_end_at_strong_boundaries():
     assert len(S.pieces("x" * 100_000, 100, 10)) >= 1000
 
 
+def test_a_long_run_is_not_cut_if_it_fits():
+    run = "x" * 60
+    text = "one two three " + run + " four five"
+    parts = [p for _, _, p in S.pieces(text, 70, 0)]
+    assert any(run in p for p in parts) and "".join(parts) == text
+
+
 def test_split_rows(spark):
     rows = [("a", "word " * 30, "p", 50, 10, "clash"), ("a", "word " * 30, "p", 50, 10, "clash"), ("b", None, None, 50, 10, ""), ("c", "", "p", 50, 10, ""), ("d", "x" * 50, None, 50, None, ""), ("e", "x" * 51, None, 50, None, ""), ("f", "x", "p", None, 1, "")]
     df = spark.createDataFrame(rows, "item_id string, content string, section_path string, max_chars int, overlap_chars int, piece_no string")
