@@ -71,10 +71,21 @@ FEATURES = [
 
 def count_words(text: str) -> float:
     """Words; two Chinese characters count as one."""
-    if text.isascii():
-        return float(len(_WORD.findall(text)))
-    rest, cjk = _CJK.subn(" ", text)
-    return cjk / 2 + len(_WORD.findall(rest))
+    return _measured(text)[1]
+
+
+def _measured(text: str) -> tuple[list[str], float]:
+    """Words of a text, of Chinese runs each two neighbouring characters, and how many words it has."""
+    words = _WORD.findall(text.casefold())
+    if text.isascii() or not (cjk := len(_CJK.findall(text))):
+        return words, float(len(words))
+    out = []
+    for w in words:
+        if w.isascii() or not _CJK.search(w):
+            out.append(w)
+        else:
+            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
+    return out, cjk / 2 + len(_WORD.findall(_CJK.sub(" ", text)))
 
 
 def plain(part: str) -> str:
@@ -83,13 +94,7 @@ def plain(part: str) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    out = []
-    for w in _WORD.findall(text.casefold()):
-        if not w.isascii() and _CJK.search(w):
-            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
-        else:
-            out.append(w)
-    return out
+    return _measured(text)[0]
 
 
 class Wording(NamedTuple):
@@ -158,10 +163,11 @@ class PageModel:
 
     def _judge_line(self, text: str) -> tuple[float, ...]:
         """Features of a line by itself, and whether it heads a list of other pages or of sources."""
-        links = _LINK.findall(text)
-        bare = _LINK.sub(r"\1", text)
+        linked_here = "](" in text
+        links = _LINK.findall(text) if linked_here else []
+        bare = _LINK.sub(r"\1", text) if linked_here else text
         body = _MARK.sub("", bare)
-        buttons = _BUTTON.findall(body)
+        buttons = _BUTTON.findall(body) if "[" in body else []
         parts = [p for p in (plain(p) for p in (buttons if buttons and len(buttons) > 1 else _PARTS.split(body.strip("| ")))) if p]
         whole = plain(body)
         has = self.wording
@@ -173,8 +179,9 @@ class PageModel:
         if colon and kinds & {"tags", "read", "related", "end"}:
             known = 1.0
         first = 1.0 if hits and hits[0] else 0.0
-        toks = tokens(body)
-        odds = sum(has.odds.get(t, 0.0) for t in toks) / len(toks) if toks else 0.0
+        toks, n = _measured(body)
+        odds_of = has.odds.get
+        odds = sum([odds_of(t, 0.0) for t in toks]) / len(toks) if toks else 0.0
         if text.lstrip().startswith("#"):
             known = float(whole in has.related)  # an article may have a section on the site's plan
             odds = odds if known else 0.0
@@ -183,7 +190,6 @@ class PageModel:
         linked = sum(len(a) for a, _ in links)
         density = min(1.0, linked / max(1, len(body.strip()))) if links else 0.0
         inner = sum(not re.match(r"[a-z]+:", u) for _, u in links)
-        n = count_words(body)
         s = text.lstrip()
         return (
             known, first, n, density, float(len(parts)), n / max(1, len(parts)), odds, float(s.startswith("#")), float(bool(re.match(r"[-*+]\s|\d+[.)]\s", s))), float(s.startswith("|")), float(s.startswith(">")), 0.0,
