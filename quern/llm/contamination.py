@@ -291,8 +291,10 @@ def near_codes(codes: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(max(c)).alias("top"), F.xxhash64(F.lit(k), *[part[i] for i in c]).alias("block")) for k, c in enumerate(choices)])
     rows = codes.select("side", "cls", "code", F.explode(keys).alias("k")).select("side", "cls", "code", "k.top", "k.block")
     pieces = lambda s: F.ceil(F.count_if(F.col("side") == s) / F.lit(BLOCK)).cast("int")
-    both = rows.groupBy("block").agg(pieces("train").alias("t"), pieces("eval").alias("e")).where("t > 0 and e > 0")
-    dealt = merged(rows, both, "block")
+    crowds = write_once(rows.groupBy("block").agg(pieces("train").alias("t"), pieces("eval").alias("e")).where("t > 0 and e > 0 and t + e > 2"), "crowds")
+    one = lambda n: F.coalesce(F.col(n), F.lit(1)).alias(n)
+    whole = rows.withColumn("t", F.lit(1)).withColumn("e", F.lit(1))
+    dealt = whole if crowds.isEmpty() else merged(rows, crowds, "block", "left").select(*rows.columns, one("t"), one("e"))
     own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     train = dealt.where("side = 'train'").select("block", "top", F.col("cls").alias("t_cls"), F.col("code").alias("t_code"), own("t").alias("i"), every("e").alias("j"))

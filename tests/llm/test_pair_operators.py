@@ -335,3 +335,20 @@ def test_many_texts_of_one_group(spark, monkeypatch):
     assert got.count() == sk.count() and most < sk.select("text_key").distinct().count() / 3
     df = spark.createDataFrame(rows, "src_table string, id string, text string")
     assert {tuple(r) for r in N.expand(*N.near_duplicates(df)).collect()} == brute_pairs(rows)
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_near_codes_equal_brute_force(spark, monkeypatch, block):
+    """Each pair within the radius once, whether its blocks are crowded or not."""
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        code = base[i % 6]
+        for b in rng.sample(range(64), rng.randint(0, 4)):
+            code ^= 1 << b
+        rows.append(("train" if i % 4 else "eval", i, code - (1 << 64) if code >> 63 else code))
+    got = [tuple(r) for r in C.near_codes(spark.createDataFrame(rows, "side string, cls long, code long")).collect()]
+    want = {(i, j) for s, i, a in rows for t, j, b in rows if (s, t) == ("train", "eval") and ((a ^ b) & (1 << 64) - 1).bit_count() <= C.RADIUS}
+    assert set(got) == want and len(got) == len(want) > 100
