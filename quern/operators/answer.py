@@ -58,11 +58,10 @@ def prompt_blocks(blocks: list[str], terms: list[str], per_block: int = PER_BLOC
     return out
 
 
-def offline_answer(query: str, blocks: list[tuple[str, str]]) -> str:
+def offline_answer(terms: list[str], blocks: list[tuple[str, str]]) -> str:
     """An answer from the evidence alone: three excerpts of 300 characters with their numbers."""
     if not blocks:
         return "未找到相关资料。"
-    terms = highlight_terms(query)
     parts = [f"[{i}] {title}\n{highlight(table_excerpt(text, terms) or window(text, terms, 300), terms)}" for i, (title, text) in enumerate(blocks[:3], 1)]
     return "\n\n".join(parts)
 
@@ -70,15 +69,15 @@ def offline_answer(query: str, blocks: list[tuple[str, str]]) -> str:
 def prompts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     """``query_id, prompt, n_blocks, answer`` of questions and their ranked blocks (``query_id, ref, title, content``)."""
     blocks = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ref", "title", "content"))).alias("blocks"))
-    x = queries.select("query_id", "query").join(blocks, "query_id", "left")
+    x = queries.select("query_id", highlight_terms(F.col("query")).alias("terms")).join(blocks, "query_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for q, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for terms, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 own = [(p["title"] or "", p["content"] or "") for p in parts or []]
-                texts = prompt_blocks([t for _, t in own], highlight_terms(q))
-                out.append(("\n\n".join(f"[{i}] {own[i - 1][0]}\n{t}" for i, t in enumerate(texts, 1)), len(texts), offline_answer(q or "", own)))
+                texts = prompt_blocks([t for _, t in own], terms or [])
+                out.append(("\n\n".join(f"[{i}] {own[i - 1][0]}\n{t}" for i, t in enumerate(texts, 1)), len(texts), offline_answer(terms or [], own)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out])], ["query_id", "prompt", "n_blocks", "answer"])
 
     t = queries.schema["query_id"].dataType.simpleString()

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions import query as Q
 from quern.functions import text as X
 from quern.functions.paths import address_kind
-from quern.functions.query import analyze, content_terms, highlight_terms
 from quern.operators import vector
-from quern.operators.lexical import match_terms
+from quern.operators.lexical import match_terms, present_terms
+from quern.operators.retrieve import SUBTERMS, minimal_cover, subterms, trims
+from quern.plans import question_sql as SQ
 from quern.session import scratch_dir, table
 from quern.sources.convert import convert
 from quern.sources.scan import replace_notes, write_index
@@ -150,38 +152,30 @@ def u4_minimal_cover(s: SparkSession, d: str) -> DataFrame:
 
 def q5_content_terms(s: SparkSession, d: str) -> DataFrame:
     """Content terms, scope, target and highlights of all questions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q = b.column(1).to_pylist()
-            cols = [[content_terms(x)[0] for x in q], [analyze(x)[0] for x in q], [analyze(x)[1] for x in q], [highlight_terms(x) for x in q]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.list_(pa.string())) for c in cols]], ["id", "terms", "scope", "target", "marks"])
-
     q = table(s, d, "core_gold").select("id", "query").distinct()
-    t = "array<string>"
-    return q.mapInArrow(run, f"id string, terms {t}, scope {t}, target {t}, marks {t}").select("id", *[F.array_join(c, "|").alias(c) for c in ("terms", "scope", "target", "marks")])
+    c = F.col("query")
+    parts = {"terms": Q.content_terms(c), "written": Q.written_terms(c), "scope": Q.runs(c, "S"), "target": Q.runs(c, "T"), "marks": Q.highlight_terms(c)}
+    return q.select("id", *[F.array_join(v, "|").alias(k) for k, v in parts.items()])
 
 
 def q15_trimmed_terms(s: SparkSession, d: str) -> DataFrame:
-    """Longest prefix of a question's Chinese run that some chunk holds, else the longest suffix.
+    """Each Chinese run of all questions as the corpus holds it: its longest beginning, else its longest end.
 
-    All candidates of all questions are one table that meets the chunks in one join.
+    All candidates of all questions meet the chunks in one pass.
     """
-    run = F.regexp_extract(F.col("query"), rf"([{X.CJK}]{{4,}})", 1)
-    q = table(s, d, "core_gold").where("cast(regexp_extract(id, '(\\\\d+)$', 1) as long) % 20 = 0").select("id", run.alias("t")).where("t <> ''").distinct()
-    n = F.length("t")
-    steps = F.sequence(F.lit(2), F.least(n, F.lit(12)))
-    both = F.concat(F.transform(steps, lambda k: F.struct((F.lit(0) - k).alias("order"), F.left("t", k).alias("term"))), F.transform(steps, lambda k: F.struct((F.lit(1000) - k).alias("order"), F.right(F.col("t"), k).alias("term"))))
-    c = q.select("id", F.explode(both).alias("c")).select("id", "c.order", "c.term")
-    known = match_terms(c.select("term").distinct(), table(s, d, "chunks"), "chunk_id", "content").select("term").distinct()
-    return c.join(known, "term", "left_semi").groupBy("id").agg(F.min_by("term", "order").alias("term"))
+    runs = table(s, d, "core_gold").select(F.explode(Q.tokens(F.col("query"))).alias("run")).where(Q.is_chinese(F.col("run")) & (F.length("run") >= 2)).distinct()
+    c = runs.select("run", F.posexplode(trims(F.col("run"))).alias("at", "term"))
+    known = present_terms(c.select("term"), table(s, d, "chunks"), "content")
+    return c.join(known, "term").groupBy("run").agg(F.min_by("term", "at").alias("term"))
 
 
 def q16_corpus_grams(s: SparkSession, d: str) -> DataFrame:
-    """Trigrams of titles that chunks hold, by how many chunks hold them."""
-    t = table(s, d, "documents").where("title is not null").select(F.explode(F.array_distinct(X.grams(F.lower("title")))).alias("term")).distinct()
-    c = table(s, d, "chunks").where("content is not null").select("chunk_id", F.explode(F.array_distinct(X.grams(F.lower("content")))).alias("term"))
-    return c.join(t, "term", "left_semi").groupBy("term").agg(F.count_distinct("chunk_id").alias("df")).where("df >= 20")
+    """Each Chinese run of three and more characters of all questions as the least subterms that chunks hold."""
+    runs = table(s, d, "core_gold").select(F.explode(Q.content_terms(F.col("query"))).alias("run")).where(Q.is_chinese(F.col("run")) & (F.length("run") > 2)).distinct()
+    c = runs.select("run", F.posexplode(subterms(F.col("run"))).alias("at", "term"))
+    known = present_terms(c.select("term"), table(s, d, "chunks"), "content")
+    held = c.join(known, "term").groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x.term).alias("a"))
+    return held.select("run", F.array_join(F.slice(minimal_cover(F.col("a")), 1, SUBTERMS), "|").alias("terms"))
 
 
 def v7_similarity_bands(s: SparkSession, d: str) -> DataFrame:
@@ -253,10 +247,14 @@ SQL = {
     "u2_candidates": "select lower(trim(doc_id)) as doc from trash union select lower(trim(doc_key)) from documents where status <> 'success'",
     "u4_minimal_cover": """with t as (select doc_id, regexp_extract_all(lower(title), '[a-z]{3,}') l from documents where title is not null), u as (select doc_id, list_filter(l, lambda v, i: list_position(l, v) = i) l from t)
  select doc_id, array_to_string(list_filter(l, lambda v: len(list_filter(l, lambda y: y <> v and contains(v, y))) = 0)[1:8], '|') as words from u""",
-    "q16_corpus_grams": """with t as (select distinct unnest(list_transform(range(1, length(title) - 1), lambda i: substring(lower(title), i, 3))) term from documents where title is not null), c as (select distinct chunk_id, unnest(list_transform(range(1, length(content) - 1), lambda i: substring(lower(content), i, 3))) term from chunks where content is not null)
- select term, count(distinct chunk_id) as df from c join t using (term) group by 1 having count(distinct chunk_id) >= 20""",
-    "q15_trimmed_terms": f"""with q as (select distinct id, regexp_extract(query, '([{_CJK}]{{4,}})', 1) t from core_gold where regexp_extract(id, '(\\d+)$', 1)::bigint % 20 = 0), k as (select id, t, unnest(range(2, least(length(t), 12) + 1)) k from q where t <> ''),
- c as (select id, -k o, left(t, k) term from k union all select id, 1000 - k, right(t, k) from k), w as (select distinct term from c), f as (select term from w where exists (select 1 from chunks where contains(lower(content), term))) select id, arg_min(term, o) as term from c join f using (term) group by 1""",
+    "q5_content_terms": f"""with q as (select distinct id, query from core_gold), x as (select id, {SQ.tokens_sql("query")} kk, {SQ.terms_sql("query")} tt, {SQ.analyzed_sql("query")} aa from q)
+ select id, array_to_string(tt, '|') as terms, array_to_string(list_filter(kk, lambda t: len({SQ.parts_sql("t")}) > 0), '|') as written, array_to_string(list_transform(list_filter(aa, lambda r: r.kind = 'S'), lambda r: r.run), '|') as scope,
+ array_to_string(list_transform(list_filter(aa, lambda r: r.kind = 'T'), lambda r: r.run), '|') as target, array_to_string({SQ.marks_sql("tt", "kk")}, '|') as marks from x""",
+    "q16_corpus_grams": f"""with t as (select distinct unnest({SQ.terms_sql("query")}) run from core_gold), r as (select run from t where regexp_full_match(run, '[{_CJK}]{{3,}}')), g as (select run, list_concat(list_transform(range(1, length(run) - 1), lambda i: substring(run, i, 3)), list_transform(range(1, length(run)), lambda i: substring(run, i, 2))) g from r),
+ c as (select run, unnest(g) term, generate_subscripts(g, 1) o from g), w as (select distinct term from c where not regexp_matches(term, '[{Q.ASKING}]') and not list_contains({Q.STOPWORDS}, term)), f as (select term from w where exists (select 1 from chunks where contains(lower(content), lower(term)))),
+ a as (select run, list(term order by o) a from (select run, term, min(o) o from c join f using (term) group by 1, 2) group by 1) select run, array_to_string(list_filter(a, lambda v: len(list_filter(a, lambda y: y <> v and contains(v, y))) = 0)[1:8], '|') as terms from a""",
+    "q15_trimmed_terms": f"""with t as (select distinct unnest({SQ.tokens_sql("query")}) run from core_gold), r as (select run, length(run) n, greatest(6, least(24, length(run) - 1)) m from t where regexp_full_match(run, '[{_CJK}]{{2,}}')), k as (select run, n, m, unnest(range(0, n - 1)) k from r),
+ c as (select run, k o, left(run, n - k) term from k where k < m union all select run, 1000 + k, right(run, n - k) from k where k between 1 and m - 1), w as (select distinct term from c), f as (select term from w where exists (select 1 from chunks where contains(lower(content), lower(term)))) select run, arg_min(term, o) as term from c join f using (term) group by 1""",
     "v7_similarity_bands": """with k as (select q.vec_id q, e.vec_id v, list_distance(q.embedding::double[], e.embedding::double[]) d from embeddings q, embeddings e where q.vec_id % 20 = 0), r as (select d, row_number() over (partition by q order by round(d, 9), v) k from k), s as (select round(greatest(0, least(1, 1 - d * d / 2)), 4) s from r where k <= 5)
  select floor(s * 10)::bigint as band, count(*) as n, count(*) filter (s >= 0.6) as grounded from s group by 1""",
     "x8_base_links": """with u as (select distinct conv_id, unnest(regexp_extract_all(markdown, '\\]\\(([^)\\s]+)\\)', 1)) u from conversion_results where kind = 'html' and markdown is not null) select conv_id, count(*) filter (starts_with(u, '/')) as inner, count(*) filter (starts_with(u, 'http')) as outer from u group by 1""",

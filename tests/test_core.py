@@ -14,6 +14,7 @@ from quern.functions import query as Q
 from quern.functions import relation as R
 from quern.functions import text as X
 from quern.functions.keywords import keywords
+from quern.functions.relevance import Asked
 from quern.functions.paths import address_kind, leaves_folder, safe_filename, url_problem
 from quern.operators import answer, chunking, lexical, library, vector
 from quern.sources import convert as C
@@ -108,13 +109,20 @@ def test_question_types(spark, q, kind):
     assert spark.createDataFrame([(q,)], "q string").select(X.question_type(F.col("q"))).first()[0] == kind
 
 
-def test_query_analysis():
-    assert Q.strip_edges("这个台风是什么") == "台风"
-    assert Q.content_terms("台风杜鹃的路径")[0] == ["台风杜鹃", "路径"]
-    assert Q.content_terms("是什么")[0] == []
-    assert Q.analyze("观测方案中，观测点共有几个") == (["观测方案"], ["观测点共有几个"])
-    assert Q.analyze("关于台风杜鹃") == (["台风杜鹃"], [])
-    assert Q.highlight_terms("水平位移怎么布置")[0] == "水平位移"
+def test_query_analysis(spark):
+    def of(expr, q):
+        got = spark.createDataFrame([(q,)], "q string").select(expr(F.col("q")).alias("x")).first().x
+        return [(x.run if "run" in x else x.term, x.kind) if hasattr(x, "kind") else x for x in got] if isinstance(got, list) else got
+
+    assert of(Q.strip_edges, "这个台风是什么") == "台风" and of(Q.strip_edges, "吗") == "吗"
+    assert of(Q.content_terms, "台风杜鹃的路径") == ["台风杜鹃", "路径"]
+    assert of(Q.content_terms, "是什么") == of(Q.content_terms, None) == []
+    assert of(Q.content_terms, "What is FTS5 有机食品") == ["FTS5", "机食品"] and of(Q.written_terms, "What is FTS5 有机食品") == ["FTS5", "有机食品"]
+    assert of(Q.analyzed, "观测方案中，观测点共有几个") == [("观测方案", "S"), ("观测点共有几个", "T")]
+    assert of(Q.analyzed, "关于台风杜鹃") == [("台风杜鹃", "S")] and of(Q.analyzed, "在哪里") == [("在哪里", "T")]
+    assert of(Q.analyzed, "Qwen 的功能有哪些") == [("Qwen", "T")]
+    assert of(Q.highlight_terms, "水平位移怎么布置")[0] == "水平位移"
+    assert of(Q.search_terms, "关于台风，台风路径") == [("台风", "S"), ("台风路径", "T")]
 
 
 def test_relations():
@@ -130,13 +138,18 @@ def test_relations():
     assert R.evaluate(r, []).verdict == "INSUFFICIENT"
 
 
-def test_match_terms_is_substring_search(spark):
+@pytest.mark.parametrize("at_once", [lexical.AT_ONCE, 0])
+def test_match_terms_is_substring_search(spark, monkeypatch, at_once):
+    monkeypatch.setattr(lexical, "AT_ONCE", at_once)
     texts = [("1", "Banana bread"), ("2", "aaa 台风杜鹃"), ("3", None), ("4", ""), ("5", "NAN")]
     terms = ["nan", "aa", "台风", "z", "", None, "banana bread"]
     x = spark.createDataFrame(texts, "id string, text string")
     t = spark.createDataFrame([(v,) for v in terms], "term string")
     got = {(r.term, r.id) for r in lexical.match_terms(t, x, "id", "text").collect()}
     assert got == {(a, i) for a in terms if a for i, b in texts if b and a.lower() in b.lower()}
+    counts = {(r.term, r.id): (r.f, r.size) for r in lexical.counted_terms(t, x, "id", "text").collect()}
+    assert counts["nan", "1"] == (1, 12) and counts["aa", "2"] == (2, 8) and len(counts) == len(got)
+    assert {r.term for r in lexical.present_terms(t, x, "text").collect()} == {a for a, _ in got}
 
 
 def test_bm25_counts_overlaps(spark):
@@ -144,16 +157,22 @@ def test_bm25_counts_overlaps(spark):
     assert one(spark, X.overlapping_count(F.col("t"), F.col("p")), t="a.b.c", p=".") == 2
 
 
-def test_lexical_score(spark):
-    s = lexical.lexical_score(F.lit("# valve\nthe valve gauge"), F.lit("valve"), F.lit("valve gauge"), F.array(F.lit("valve"), F.lit("gauge")), F.array(F.lit(2.0), F.lit(1.0)))
-    # whole query 6, counts 2*2 + 1, heading 8, section 8, no pair without the space, short text 2
-    assert spark.range(1).select(s).first()[0] == pytest.approx(6 + 5 + 8 + 8 + 0 + 2)
+def test_relevance():
+    asked = Asked("valve gauge", "general", ["valve", "gauge"], [2.0, 1.0], ["gauge"])
+    # whole question 6, counts 2 * 2 + 1, heading 8, section 8, no pair without the space, short text 2
+    assert asked.relevance("# Valve\nthe valve gauge", "valve") == pytest.approx(6 + 5 + 8 + 8 + 0 + 2)
+    assert asked.relevance("", "") == 0 and asked.relevance("| x | gauge |", "") == pytest.approx(1 + 1)
+    assert Asked("", "general", ["观测", "人员"], [1.0, 1.0], []).relevance("观测人员" * 60, "") == pytest.approx(120 + 3)
+    near = Asked("", "quantity", ["观测点"], [1.0], ["观测点"])
+    assert near.bonus("观测点共有8个", "") == 8 and near.bonus("观测点" + "很" * 20 + "8", "") == 0 and Asked("", "quantity", [], [], []).bonus("8", "") == 0
+    model = Asked("", "model", ["水准仪"], [1.0], ["水准仪"])
+    assert [model.bonus(*x) for x in (("水准仪 DS05", ""), ("DS05", "设备"), ("水准仪", ""), ("精度合格", ""), ("无", ""))] == [2.5, 1.2, 0.4, -0.8, 0.0]
 
 
 def test_vectors(spark):
     v = vector.hash_embedding("Valve  gauge", 64)
-    assert sum(x * x for x in v) == pytest.approx(1) and vector.hash_embedding("", 8) == [0.0] * 8
-    assert v == vector.hash_embedding("valve gauge", 64)
+    assert sum(x * x for x in v) == pytest.approx(1) and vector.hash_embedding("", 8).tolist() == [0.0] * 8
+    assert (v == vector.hash_embedding("valve gauge", 64)).all()
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [1.0])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<float>")
