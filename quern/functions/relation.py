@@ -12,16 +12,15 @@ from dataclasses import dataclass
 
 from quern.functions.markdown import evidence_units
 
-# Verbs of cause, objects of consequence, and the forms of questions in the order in which they are tried.
-CAUSE = "导致|造成|引起|引发|致使"
-CONSEQUENCE = "后果|结果|问题|危害|事故"
-_WHAT = "(?:哪个|什么)(?:天气)?(?:过程|事件|原因|因素)"
+# The forms of questions in the order in which they are tried, with the kind of relation and whether it is checked;
+# questions that are let pass; names behind or before words of responsibility, in the order in which they are tried; names
+# before and behind verbs of cause; names of entities.
 FORMS = [
-    ("event", True, rf"^{_WHAT}(?:{CAUSE})(?P<t>.+?)[？?]?$"),
-    ("event", True, rf"^(?P<t>.+?)(?:是)?(?:由|因为|由于){_WHAT}(?:{CAUSE})的?[？?]?$"),
-    ("causal", True, rf"^(?P<a>.+?)是否(?:会)?(?:{CAUSE})(?P<t>.+?)[？?]?$"),
-    ("causal", True, rf"^(?P<t>.+?)是否(?:是)?由(?P<a>.+?)(?:{CAUSE})[？?]?$"),
-    ("causal", True, rf"^(?P<a>.+?)(?:{CAUSE})(?:了)?(?:哪些|什么)(?:{CONSEQUENCE})[？?]?$"),
+    ("event", True, r"^(?:哪个|什么)(?:天气)?(?:过程|事件|原因|因素)(?:导致|造成|引起|引发|致使)(?P<t>.+?)[？?]?$"),
+    ("event", True, r"^(?P<t>.+?)(?:是)?(?:由|因为|由于)(?:哪个|什么)(?:天气)?(?:过程|事件|原因|因素)(?:导致|造成|引起|引发|致使)的?[？?]?$"),
+    ("causal", True, r"^(?P<a>.+?)是否(?:会)?(?:导致|造成|引起|引发|致使)(?P<t>.+?)[？?]?$"),
+    ("causal", True, r"^(?P<t>.+?)是否(?:是)?由(?P<a>.+?)(?:导致|造成|引起|引发|致使)[？?]?$"),
+    ("causal", True, r"^(?P<a>.+?)(?:导致|造成|引起|引发|致使)(?:了)?(?:哪些|什么)(?:后果|结果|问题|危害|事故)[？?]?$"),
     ("responsibility", True, r"^(?P<a>.+?)(?:是否|是)?由谁(?:来)?负责[？?]?$"),
     ("responsibility", True, r"^(?P<a>.+?)由哪(?:个|些)(?:部门|单位|人员|岗位)负责[？?]?$"),
     ("responsibility", True, r"^(?P<a>.+?)(?:是)?谁负责的[？?]?$"),
@@ -32,12 +31,22 @@ FORMS = [
     ("impact", False, r"^(?P<a>.+?)(?:造成了|造成|带来|产生了|产生)?(?:哪些|什么)?影响[？?]?$"),
 ]
 PASS = [r"职责", r"负责[^？?]{0,6}(?:工作|工作内容|事项)"]
-_NAME = r"[一-龥A-Za-z0-9\-－]{2,14}"
-OWNERS = [rf"责任单位[：:]\s*({_NAME})", rf"责任人为\s*({_NAME})", rf"责任单位为\s*({_NAME})", rf"负责人[：:]\s*({_NAME})", rf"负责人为\s*({_NAME})", rf"由({_NAME}?)负责", rf"({_NAME})[，,]\s*负责", rf"({_NAME})负责"]
+OWNERS = [
+    r"责任单位[：:]\s*([一-龥A-Za-z0-9\-－]{2,14})",
+    r"责任人为\s*([一-龥A-Za-z0-9\-－]{2,14})",
+    r"责任单位为\s*([一-龥A-Za-z0-9\-－]{2,14})",
+    r"负责人[：:]\s*([一-龥A-Za-z0-9\-－]{2,14})",
+    r"负责人为\s*([一-龥A-Za-z0-9\-－]{2,14})",
+    r"由([一-龥A-Za-z0-9\-－]{2,14}?)负责",
+    r"([一-龥A-Za-z0-9\-－]{2,14})[，,]\s*负责",
+    r"([一-龥A-Za-z0-9\-－]{2,14})负责",
+]
+CAUSED = r"([一-龥A-Za-z0-9\-－]{2,14}?)(?:导致|造成|引起|引发|致使)"
+CAUSED_BY = r"由([一-龥A-Za-z0-9\-－]{2,14}?)(?:导致|造成|引起|引发|致使)"
 ENTITY = r"[A-Z]{1,6}[-－]\d{1,4}"
 
 _COMPILED = [(kind, guard, re.compile(p)) for kind, guard, p in FORMS]
-_SUBJECT = re.compile(rf"({_NAME}?)(?:{CAUSE})")
+_SUBJECT = re.compile(CAUSED)
 
 
 @dataclass(frozen=True)
@@ -76,7 +85,7 @@ def owner_in(text: str) -> str:
 
 def subjects_in(text: str) -> set[str]:
     """Names the text itself gives as causes or as responsible."""
-    found = {m[1] for m in _SUBJECT.finditer(text)} | {m[1] for m in re.finditer(rf"由({_NAME}?)(?:{CAUSE})", text)}
+    found = {m[1] for m in _SUBJECT.finditer(text)} | {m[1] for m in re.finditer(CAUSED_BY, text)}
     found |= {m[1] for p in OWNERS[:-1] if (m := re.search(p, text))}
     return {x for x in found if len(x) >= 2}
 

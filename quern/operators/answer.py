@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.query import highlight_terms
-from quern.functions.text import snippet
+from quern.functions.text import question_type, snippet
 from quern.session import table
 
 #: Characters per block and in all, and the least room for another block.
 PER_BLOCK, TOTAL, ROOM = 400, 1800, 80
+#: The same for overviews.
+WIDE_BLOCK, WIDE_TOTAL = 900, 4000
 #: Marks around a highlighted term.
 OPEN, CLOSE = "\x01", "\x02"
 
@@ -69,14 +72,15 @@ def offline_answer(terms: list[str], blocks: list[tuple[str, str]]) -> str:
 def prompts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     """``query_id, prompt, n_blocks, answer`` of questions and their ranked blocks (``query_id, ref, title, content``)."""
     blocks = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ref", "title", "content"))).alias("blocks"))
-    x = queries.select("query_id", highlight_terms(F.col("query")).alias("terms")).join(blocks, "query_id", "left")
+    wide = (question_type(F.col("query")) == "coverage").alias("wide")
+    x = queries.select("query_id", highlight_terms(F.col("query")).alias("terms"), wide).join(blocks, "query_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for terms, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for terms, wide, parts in zip(*[c.to_pylist() for c in b.columns[1:]]):
                 own = [(p["title"] or "", p["content"] or "") for p in parts or []]
-                texts = prompt_blocks([t for _, t in own], terms or [])
+                texts = prompt_blocks([t for _, t in own], terms or [], *((WIDE_BLOCK, WIDE_TOTAL) if wide else (PER_BLOCK, TOTAL)))
                 out.append(("\n\n".join(f"[{i}] {own[i - 1][0]}\n{t}" for i, t in enumerate(texts, 1)), len(texts), offline_answer(terms or [], own)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out])], ["query_id", "prompt", "n_blocks", "answer"])
 
@@ -97,8 +101,11 @@ def v20_prompts(s: SparkSession, d: str) -> DataFrame:
     """A prompt for each note from its blocks in order, with the note's title as question."""
     k = lambda c: F.lower(F.trim(F.col(c)))
     q = table(s, d, "documents").where("title is not null").select(k("doc_key").alias("query_id"), F.col("title").alias("query"))
-    b = table(s, d, "parent_blocks").where("doc_id is not null and parent_id is not null and ord < 12").dropDuplicates(["parent_id"]).select(k("doc_id").alias("query_id"), F.col("ord").alias("ref"), F.col("section_path").alias("title"), "content")
-    return prompts(q, b).select("query_id", "n_blocks", F.length("prompt").alias("n_chars"), F.length("answer").alias("answer_chars"))
+    b = table(s, d, "parent_blocks").where("doc_id is not null and parent_id is not null").dropDuplicates(["parent_id"]).select(k("doc_id").alias("query_id"), F.col("ord").alias("ref"), "parent_id", F.col("section_path").alias("title"), "content")
+    # Blocks behind those that fill the largest budget are in no prompt, whatever the windows.
+    before = F.sum(F.least(F.coalesce(F.length("content"), F.lit(0)), F.lit(PER_BLOCK))).over(W.partitionBy("query_id").orderBy("ref", "parent_id").rowsBetween(W.unboundedPreceding, -1))
+    near = b.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("ref", "parent_id"))).withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < WIDE_TOTAL) | (F.col("n") <= 3))
+    return prompts(q, near).select("query_id", "n_blocks", F.length("prompt").alias("n_chars"), F.length("answer").alias("answer_chars"))
 
 
 QUERIES = {"v16_snippets": v16_snippets, "v18_highlights": v18_highlights, "v20_prompts": v20_prompts}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,15 +18,25 @@ BLOCKS = 20
 
 
 def routes(queries: DataFrame) -> DataFrame:
-    """``query_id, guarded, kind, anchor, target`` of questions."""
+    """``query_id, guarded, kind, anchor, target`` of questions, by the first form that fits; null and blank questions pass."""
+    q = F.trim(F.coalesce("query", F.lit("")))
+    fits = [q.rlike(f.replace("(?P<", "(?<")) for _, _, f in R.FORMS]
+    passed = (q == "") | q.rlike("|".join(f"(?:{p})" for p in R.PASS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r = [R.analyze_relation(q) for q in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.guarded for x in r], pa.bool_()), pa.array([x.kind for x in r], pa.string()), pa.array([x.anchor for x in r], pa.string()), pa.array([x.target for x in r], pa.string())], ["query_id", "guarded", "kind", "anchor", "target"])
+    def first(value):  # noqa: ANN001, ANN202
+        out = F.when(passed, value(None, False, None))
+        for fit, (kind, guarded, form) in zip(fits, R.FORMS):
+            out = out.when(fit, value(kind, guarded, form))
+        return out.otherwise(value(None, False, None))
 
-    t = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", "query").mapInArrow(run, f"query_id {t}, guarded boolean, kind string, anchor string, target string")
+    def part(name: str):  # noqa: ANN202
+        def of(kind, guarded, form):  # noqa: ANN001, ANN202
+            at = re.compile(form).groupindex.get(name) if form else None
+            return F.trim(F.regexp_extract(q, form.replace("(?P<", "(?<"), at)) if at else F.lit("")
+
+        return first(of)
+
+    return queries.select("query_id", first(lambda k, g, f: F.lit(g)).alias("guarded"), first(lambda k, g, f: F.lit(k or "")).alias("kind"), part("a").alias("anchor"), part("t").alias("target"))
 
 
 def verdicts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -47,13 +58,17 @@ def verdicts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def g1_routes(s: SparkSession, d: str) -> DataFrame:
+    """Routes of all gold questions, and of a question of each form about each block's section."""
     q = table(s, d, "core_gold").select(F.col("id").alias("query_id"), "query").distinct()
-    return routes(q).groupBy("guarded", "kind").agg(F.count(F.lit(1)).alias("n"))
+    tail = F.regexp_extract("section_path", "([^>]*)$", 1)
+    asked = F.element_at(F.array(*[F.concat(F.lit(a), tail, F.lit(b)) for a, b in ASKED]), (F.pmod(F.length("parent_id") + F.col("ord"), F.lit(len(ASKED))) + 1).cast("int"))
+    own = table(s, d, "parent_blocks").where("parent_id is not null and section_path <> ''").select(F.col("parent_id").alias("query_id"), asked.alias("query")).distinct()
+    return routes(q.unionByName(own))
 
 
 def g4_verdicts(s: SparkSession, d: str) -> DataFrame:
-    """A responsibility question about each note's first block, judged by that block."""
-    b = table(s, d, "parent_blocks").where("ord = 0 and content is not null and parent_id is not null").dropDuplicates(["parent_id"])
+    """A responsibility question about the section of each block, judged by that block."""
+    b = table(s, d, "parent_blocks").where("content is not null and parent_id is not null").dropDuplicates(["parent_id"])
     q = b.select(F.col("parent_id").alias("query_id"), F.concat(F.regexp_extract("section_path", "([^>]*)$", 1), F.lit("由谁负责？")).alias("query"))
     ranked = b.select(F.col("parent_id").alias("query_id"), F.lit(1).alias("ref"), "parent_id", "section_path", "content")
     return verdicts(q, ranked).groupBy("verdict", "rule").agg(F.count(F.lit(1)).alias("n"))
@@ -61,12 +76,25 @@ def g4_verdicts(s: SparkSession, d: str) -> DataFrame:
 
 def g2_owners(s: SparkSession, d: str) -> DataFrame:
     """Names before 负责 in blocks, by built-in expressions in the order of the patterns."""
-    first = [F.regexp_extract("content", p, 1) for p in R.OWNERS[:6]]
+    first = [F.regexp_extract("content", p, 1) for p in R.OWNERS]
     owner = F.coalesce(*[F.when(x != "", x) for x in first])
     b = table(s, d, "parent_blocks").where("content is not null").select("parent_id", owner.alias("owner")).where("owner is not null")
     return b.distinct()
 
 
+#: What stands before and behind a name in the questions that are made of sections.
+ASKED = [("谁负责", "？"), ("", "由谁负责？"), ("", "是否导致停工？"), ("哪个原因造成", "？"), ("", "的型号是多少？"), ("", "有哪些影响？"), ("", "的职责是什么？"), ("", "")]
+
 QUERIES = {"g1_routes": g1_routes, "g2_owners": g2_owners, "g4_verdicts": g4_verdicts}
-_OWN = ", ".join(f"nullif(regexp_extract(content, '{p}', 1), '')" for p in R.OWNERS[:6])
-SQL = {"g2_owners": f"with o as (select parent_id, coalesce({_OWN}) as owner from parent_blocks where content is not null) select distinct parent_id, owner from o where owner is not null"}
+_OWN = ", ".join(f"nullif(regexp_extract(content, '{p}', 1), '')" for p in R.OWNERS)
+_CASES = [(f"regexp_matches(q, '{f}')", g, k, *[re.compile(f).groupindex.get(n) for n in ("a", "t")], f) for k, g, f in R.FORMS]
+_PASSED = "q = '' or " + " or ".join(f"regexp_matches(q, '{p}')" for p in R.PASS)
+_first = lambda value, none: f"case when {_PASSED} then {none} " + " ".join(f"when {c[0]} then {value(c)}" for c in _CASES) + f" else {none} end"
+_part = lambda at: _first(lambda c: f"trim(regexp_extract(q, '{c[5]}', {c[at]}))" if c[at] else "''", "''")
+_ASKED = " ".join(f"when {i} then '{a}' || t || '{b}'" for i, (a, b) in enumerate(ASKED))
+SQL = {
+    "g1_routes": f"""with s as (select distinct parent_id, ord, regexp_extract(section_path, '([^>]*)$', 1) t from parent_blocks where parent_id is not null and section_path <> ''),
+ x as (select distinct id query_id, query from core_gold union all select distinct parent_id, case (length(parent_id) + ord) % {len(ASKED)} {_ASKED} end from s), y as (select query_id, trim(coalesce(query, '')) q from x)
+ select query_id, {_first(lambda c: str(c[1]).lower(), "false")} as guarded, {_first(lambda c: f"'{c[2]}'", "''")} as kind, {_part(3)} as anchor, {_part(4)} as target from y""",
+    "g2_owners": f"with o as (select parent_id, coalesce({_OWN}) as owner from parent_blocks where content is not null) select distinct parent_id, owner from o where owner is not null",
+}

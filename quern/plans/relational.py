@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.text import detect_language, query_terms
+from quern.functions.text import CJK, detect_language, grams, normalize_url, query_terms
 from quern.operators.lexical import match_terms
-from quern.operators.skew import lookup
+from quern.operators.retrieve import note_siblings, section_run
+from quern.operators.skew import lookup, merged
+from quern.plans.scalar import URL_SQL
 from quern.session import table
 
 
@@ -92,15 +94,18 @@ def j1_left_join(s: SparkSession, d: str) -> DataFrame:
 
 
 def j2_newest_capture(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "conversion_results").where("source_url is not null").select("conv_id", "source_url").distinct()
+    """The newest capture of each page, whatever form its address was given in."""
+    c = table(s, d, "conversion_results").where("source_url is not null").select("conv_id", normalize_url(F.col("source_url")).alias("url")).distinct()
     k = table(s, d, "capture_results").where("conv_id is not null and captured_at is not null")
-    return k.join(c, "conv_id").groupBy("source_url").agg(F.max_by("capture_id", F.struct("captured_at", "capture_id")).alias("capture_id"))
+    return k.join(c, "conv_id").groupBy("url").agg(F.max_by("capture_id", F.struct("captured_at", "capture_id")).alias("capture_id"))
 
 
 def j3_evidence_lookup(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").select(_k("doc_key").alias("doc"), "doc_id", "rel_path")
-    b = table(s, d, "parent_blocks").where("ord = 1").select("parent_id", _k("doc_id").alias("doc"), "source_start_line").distinct()
-    return b.join(docs, "doc").select("parent_id", "doc_id", "rel_path", "source_start_line")
+    """Every block with its note's number and path; the register's blocks meet its note by broadcast, all others by shuffle."""
+    b = table(s, d, "parent_blocks").where("doc_id is not null").select("parent_id", _k("doc_id").alias("doc"), "source_start_line")
+    used = b.groupBy("doc").agg(F.count(F.lit(1)).alias("_refs"))
+    facts = merged(table(s, d, "documents").select(_k("doc_key").alias("doc"), F.col("doc_id").alias("note"), "rel_path"), used, "doc")
+    return lookup(b, facts, "doc").where("note is not null").select("parent_id", F.col("note").alias("doc_id"), "rel_path", "source_start_line").distinct()
 
 
 def j5_chunk_counts(s: SparkSession, d: str) -> DataFrame:
@@ -118,13 +123,6 @@ def j6_chunk_to_note(s: SparkSession, d: str) -> DataFrame:
     return lookup(c.join(blocks, "parent"), facts, "doc").where("doc_id is not null").select("chunk_id", "doc_id", "title", "ord").distinct()
 
 
-def j10_interval_overlap(s: SparkSession, d: str) -> DataFrame:
-    """Blocks of one note whose lines overlap; lines of 0 are unknown."""
-    b = table(s, d, "parent_blocks").where("source_start_line > 0 and source_end_line > 0 and doc_id is not null").groupBy("parent_id", _k("doc_id").alias("doc")).agg(F.min("source_start_line").alias("a"), F.max("source_end_line").alias("z"))
-    w = W.partitionBy("doc").orderBy("a", "z", "parent_id").rowsBetween(W.unboundedPreceding, -1)
-    return b.withColumn("before", F.max("z").over(w)).groupBy((F.col("a") <= F.col("before")).alias("overlaps")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def j12_vanished(s: SparkSession, d: str) -> DataFrame:
     """Notes of the trash that the index still has, and those it no longer has."""
     docs = table(s, d, "documents").select(_k("doc_key").alias("doc")).distinct()
@@ -165,8 +163,12 @@ def a4_chunks_by_parent(s: SparkSession, d: str) -> DataFrame:
 
 
 def a5_term_frequency(s: SparkSession, d: str) -> DataFrame:
-    w = F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z][a-z0-9]{2,}"), 0)).alias("w")
-    return table(s, d, "documents").where("title is not null").select(w).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """Chinese 2- to 4-grams, and ASCII words as written and in lower case, of all titles by how often they occur."""
+    runs = F.regexp_extract_all("title", F.lit(f"[{CJK}]+"), 0)
+    words = F.regexp_extract_all("title", F.lit(r"[A-Za-z][A-Za-z0-9_+#.\-]{2,}"), 0)
+    cut = F.flatten(F.transform(runs, lambda r: F.concat(grams(r, 2), grams(r, 3), grams(r, 4))))
+    every = F.concat(cut, words, F.transform(words, F.lower))
+    return table(s, d, "documents").where("title is not null").select(F.explode(every).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 def a8_categories(s: SparkSession, d: str) -> DataFrame:
@@ -185,11 +187,6 @@ def a12_folders(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").groupBy(F.substring_index("rel_path", "/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes"))
 
 
-def a13_failures(s: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("ok"), "ok").when(F.coalesce("markdown", F.lit("")) == "", "empty").otherwise("other")
-    return table(s, d, "conversion_results").groupBy(kind.alias("class"), "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 def a14_percentiles(s: SparkSession, d: str) -> DataFrame:
     p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
     return table(s, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
@@ -209,22 +206,23 @@ def w1_ranks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("host is not null").select("doc_id", "host", F.row_number().over(w).alias("rank")).where("rank <= 3")
 
 
+def _longest_block(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All blocks, and the longest of each note as the lead that others stand beside."""
+    b = table(s, d, "parent_blocks").where("doc_id is not null and parent_id is not null").groupBy(_k("doc_id").alias("doc_id"), "parent_id").agg(F.min("ord").alias("ord"), F.min(F.coalesce("section_path", F.lit(""))).alias("section_path"), F.max(F.coalesce(F.length("content"), F.lit(0))).alias("n"))
+    lead = b.groupBy("doc_id").agg(F.max_by(F.struct("parent_id", "section_path", "ord"), F.struct("n", "parent_id")).alias("l"))
+    return b, lead.select(F.col("doc_id").alias("query_id"), "doc_id", F.col("l.parent_id").alias("lead"), F.col("l.section_path").alias("l_section"), F.col("l.ord").alias("l_ord"))
+
+
 def w3_section_run(s: SparkSession, d: str) -> DataFrame:
-    """Blocks after the first of a note, up to the first one of another section; at most 8."""
-    b = table(s, d, "parent_blocks").where("doc_id is not null and parent_id is not null").select(_k("doc_id").alias("doc"), "parent_id", "ord", F.coalesce("section_path", F.lit("")).alias("sp")).groupBy("doc", "parent_id").agg(F.min("ord").alias("ord"), F.min("sp").alias("sp"))
-    w = W.partitionBy("doc").orderBy("ord", "parent_id")
-    anchor = F.first("sp").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    x = b.withColumn("anchor", anchor).withColumn("no", F.row_number().over(w)).where("anchor <> ''")
-    other = (F.col("sp") != "") & (F.col("sp") != F.col("anchor")) & ~F.col("sp").startswith(F.concat("anchor", F.lit(" > ")))
-    run = F.sum(F.when(other, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return x.withColumn("brk", run).where("no > 1 and brk = 0 and sp <> '' and no <= 9").select("doc", "parent_id", "ord")
+    """Blocks behind the longest of each note that are still in its section, or in the nearest section above that goes on; at most 8."""
+    b, lead = _longest_block(s, d)
+    return section_run(merged(b, lead, "doc_id").where("ord > l_ord"), 8).select(F.col("doc_id").alias("doc"), "parent_id", "k")
 
 
 def w4_siblings(s: SparkSession, d: str) -> DataFrame:
-    """Blocks of a note with the shallow sections first, at most 12."""
-    b = table(s, d, "parent_blocks").where("doc_id is not null and section_path <> ''").select(_k("doc_id").alias("doc"), "parent_id", "ord", "section_path").groupBy("doc", "parent_id").agg(F.min("ord").alias("ord"), F.min("section_path").alias("sp"))
-    w = W.partitionBy("doc").orderBy(F.when(F.col("sp").contains(" > "), 1).otherwise(0), "ord", "parent_id")
-    return b.select("doc", "parent_id", F.row_number().over(w).alias("place")).where("place <= 12")
+    """Blocks beside the longest of each note, those one level under its title if there are any; at most 12."""
+    b, lead = _longest_block(s, d)
+    return note_siblings(merged(b, lead, "doc_id").where("parent_id <> lead"), 12).select(F.col("doc_id").alias("doc"), "parent_id", "k")
 
 
 def w8_line_numbers(s: SparkSession, d: str) -> DataFrame:
@@ -312,13 +310,15 @@ def j16_star_join(s: SparkSession, d: str) -> DataFrame:
     return x.groupBy("n_name", F.year("l_shipdate").alias("y")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-_NAMES = "s36_table_counts s34_restore_notes p1_defaults p3_substring p4_conjunction p6_id_lookup p8_list_filter p9_orphan_rows p10_chunk_prefix p11_section_prefix p12_min_length j1_left_join j2_newest_capture j3_evidence_lookup j5_chunk_counts j6_chunk_to_note j10_interval_overlap j12_vanished j13_originals j14_membership a2_document_frequency a4_chunks_by_parent a5_term_frequency a8_categories a9_confusion a12_folders a13_failures a14_percentiles a15_distinct a16_cube w1_ranks w3_section_run w4_siblings w8_line_numbers w9_last_turns w10_budget w11_newest w12_neighbours t6_note_list t7_longest_terms t9_collated u1_union_terms u3_difference u5_intersection u6_trash_array u7_except_all j16_star_join"
+_NAMES = "s36_table_counts s34_restore_notes p1_defaults p3_substring p4_conjunction p6_id_lookup p8_list_filter p9_orphan_rows p10_chunk_prefix p11_section_prefix p12_min_length j1_left_join j2_newest_capture j3_evidence_lookup j5_chunk_counts j6_chunk_to_note j12_vanished j13_originals j14_membership a2_document_frequency a4_chunks_by_parent a5_term_frequency a8_categories a9_confusion a12_folders a14_percentiles a15_distinct a16_cube w1_ranks w3_section_run w4_siblings w8_line_numbers w9_last_turns w10_budget w11_newest w12_neighbours t6_note_list t7_longest_terms t9_collated u1_union_terms u3_difference u5_intersection u6_trash_array u7_except_all j16_star_join"
 #: Ids of projections and predicates get a prefix, as names in p and a number are those of the corpus problems.
 QUERIES = {("sel_" + n if n[0] == "p" else n): globals()[n] for n in _NAMES.split()}
 
 _DOC = "lower(trim(doc_id))"
 _STEM = "lower(regexp_replace(regexp_extract({}, '[^/]*$', 0), '\\.[^.]*$', ''))"
-_BLOCKS = f"select {_DOC} doc, parent_id, min(ord) ord, min(coalesce(section_path, '')) sp from parent_blocks where doc_id is not null and parent_id is not null group by 1, 2"
+_CJK = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}"
+_LEAD = f"""with b as (select {_DOC} doc, parent_id, min(ord) ord, min(coalesce(section_path, '')) sp, max(coalesce(length(content), 0)) n from parent_blocks where doc_id is not null and parent_id is not null group by 1, 2),
+ l as (select doc, arg_max(struct_pack(p := parent_id, s := sp, o := ord), struct_pack(n := n, p := parent_id)) l from b group by 1), x as (select b.*, l.l.p as lead, l.l.s as l_section, l.l.o as l_ord from b join l using (doc))"""
 
 SQL = {
     "s36_table_counts": " union all ".join(f"select '{n}' as name, count(*) as n from {n}" for n in ["documents", "parent_blocks", "chunk_metadata", "chunks", "trash", "conversion_results", "capture_results"]),
@@ -334,35 +334,34 @@ SQL = {
     "sel_p11_section_prefix": "select split_part(section_path, ' > ', 1) as top, count(*) as n, count(*) filter (starts_with(section_path, split_part(section_path, ' > ', 1) || ' > ')) as below from parent_blocks where section_path <> '' group by 1",
     "sel_p12_min_length": "select case when coalesce(length(markdown), 0) < 150 then 'partial_fallback' else 'full' end as state, count(*) as n from conversion_results where kind = 'html' group by 1",
     "j1_left_join": f"select d.doc_id, m.longest from documents d left join (select {_DOC} doc, max(char_len) longest from chunk_metadata where doc_id is not null group by 1) m on lower(trim(d.doc_key)) = m.doc",
-    "j2_newest_capture": "select source_url, max_by(capture_id, (captured_at, capture_id)) as capture_id from capture_results join (select distinct conv_id, source_url from conversion_results where source_url is not null) using (conv_id) where captured_at is not null group by 1",
-    "j3_evidence_lookup": "with b as (select distinct parent_id, lower(trim(doc_id)) doc, source_start_line from parent_blocks where ord = 1) select parent_id, d.doc_id, rel_path, source_start_line from b join documents d on b.doc = lower(trim(d.doc_key))",
+    "j2_newest_capture": f"select url, max_by(capture_id, (captured_at, capture_id)) as capture_id from capture_results join (select distinct conv_id, {URL_SQL} as url from conversion_results where source_url is not null) using (conv_id) where captured_at is not null group by 1",
+    "j3_evidence_lookup": "with b as (select distinct parent_id, lower(trim(doc_id)) doc, source_start_line from parent_blocks) select distinct parent_id, d.doc_id, rel_path, source_start_line from b join documents d on b.doc = lower(trim(d.doc_key))",
     "j5_chunk_counts": f"select d.doc_id, (select count(distinct chunk_id) from chunk_metadata c where {_DOC.replace('doc_id', 'c.doc_id')} = lower(trim(d.doc_key))) as chunks from documents d",
     "j6_chunk_to_note": """with c as (select distinct chunk_id, lower(trim(parent_id)) p, lower(trim(doc_id)) k from chunks where doc_id is not null), b as (select lower(trim(parent_id)) p, min(ord) o from parent_blocks group by 1)
  select distinct chunk_id, d.doc_id, d.title, b.o as ord from c join b using (p) join documents d on c.k = lower(trim(d.doc_key))""",
-    "j10_interval_overlap": f"""with b as (select parent_id, {_DOC} doc, min(source_start_line) a, max(source_end_line) z from parent_blocks where source_start_line > 0 and source_end_line > 0 and doc_id is not null group by all),
- w as (select a <= max(z) over (partition by doc order by a, z, parent_id rows between unbounded preceding and 1 preceding) o from b) select o as overlaps, count(*) as n from w group by 1""",
     "j12_vanished": f"with g as (select distinct {_DOC} doc from trash) select doc, case when doc in (select lower(trim(doc_key)) from documents) then 'indexed' else 'vanished' end as state from g",
     "j13_originals": f"with f as (select distinct {_STEM.format('file_path')} s from capture_results where file_path <> ''), n as (select distinct {_STEM.format('rel_path')} s from documents) select count(*) filter (s in (select s from n)) as n, 'matched' as state from f union all select count(*) filter (s not in (select s from n)), 'orphan' from f",
     "j14_membership": "with b as (select doc_id, unnest(list_distinct(list_filter(string_split(rel_path, '/')[1:2], lambda v: not ends_with(v, '.md')))) c from documents) select c as collection, count(*) as members from b group by 1",
     "a2_document_frequency": """with t as (select distinct lower(unnest(expected.must_contain)) term from core_gold), n as (select count(distinct chunk_id) n from chunks), f as (select term, count(distinct chunk_id) df from t join chunks on contains(lower(content), term) group by 1)
  select term, coalesce(df, 0) as df, round(ln((n + 1) / (coalesce(df, 0) + 1)), 6) as idf from t left join f using (term), n""",
     "a4_chunks_by_parent": "select lower(trim(parent_id)) as parent, count(distinct chunk_id) as n, max(char_len) as longest, arg_min(chunk_id, (coalesce(indexed_at, timestamp '1000-01-01'), chunk_id)) as first_chunk from chunk_metadata where parent_id is not null group by 1",
-    "a5_term_frequency": "with w as (select unnest(regexp_extract_all(lower(title), '[a-z][a-z0-9]{2,}')) w from documents) select w, count(*) as n from w group by 1 having count(*) >= 2",
+    "a5_term_frequency": f"""with t as (select title from documents where title is not null), r as (select unnest(regexp_extract_all(title, '[{_CJK}]+')) r from t), k as (select r, unnest([2, 3, 4]) k from r),
+ g as (select unnest(list_transform(range(1, length(r) - k + 2), lambda i: substring(r, i, k))) w from k where length(r) >= k), a as (select unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9_+#.\\-]{{2,}}')) w from t)
+ select w, count(*) as n from (select w from g union all select w from a union all select lower(w) from a) group by 1 having count(*) >= 2""",
     "a8_categories": "with g as (select distinct id, category, expected.answer_state a from core_gold) select category, count(*) as n, count(*) filter (a = 'answered') as answered from g group by rollup (category)",
     "a9_confusion": """with c as (select lower(lang) lang, coalesce(text, '') t, len(regexp_extract_all(coalesce(text, ''), '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]')) k, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9_+#.\\-]{2,}')) w from documents where lang is not null),
  x as (select starts_with(lang, 'zh') y, trim(regexp_replace(t, '\\s', ' ', 'g')) <> '' and (k >= 20 and k >= w * 2 or not (w >= 10 and k < w) and not (k > 0 and w > 0) and k > 0) p from c), n as (select count(*) filter (p and y) tp, count(*) filter (p and not y) fp, count(*) filter (not p and y) fn from x)
  select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall from n""",
     "a12_folders": "select split_part(rel_path, '/', 1) as folder, count(*) as n, sum(file_size)::bigint as bytes from documents group by 1",
-    "a13_failures": "select case when ok then 'ok' when coalesce(markdown, '') = '' then 'empty' else 'other' end as class, kind, count(*) as n from conversion_results group by all",
     "a14_percentiles": "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1",
     "a15_distinct": "select count(distinct host) as hosts, count(distinct lower(sha1)) as hashes, count(distinct text) as texts from documents",
     "a16_cube": "select kind, ok, count(*) as n, grouping(kind, ok) as level from conversion_results group by cube (kind, ok) having count(*) > 1",
     "w1_ranks": "select * from (select doc_id, host, row_number() over (partition by host order by file_size desc, doc_id) as rank from documents where host is not null) where rank <= 3",
-    "w3_section_run": f"""with b as ({_BLOCKS}), x as (select *, first_value(sp) over w anchor, row_number() over w no from b window w as (partition by doc order by ord, parent_id)),
- y as (select *, sum(case when sp <> '' and sp <> anchor and not starts_with(sp, anchor || ' > ') then 1 else 0 end) over (partition by doc order by ord, parent_id rows unbounded preceding) brk from x where anchor <> '')
- select doc, parent_id, ord from y where no > 1 and brk = 0 and sp <> '' and no <= 9""",
-    "w4_siblings": f"""with b as (select {_DOC} doc, parent_id, min(ord) ord, min(section_path) sp from parent_blocks where doc_id is not null and section_path <> '' group by 1, 2)
- select * from (select doc, parent_id, row_number() over (partition by doc order by contains(sp, ' > ')::int, ord, parent_id) as place from b) where place <= 12""",
+    "w3_section_run": _LEAD + """, a as (select x.*, unnest(range(1, len(string_split(l_section, ' > ')) + 1)) level from x where ord > l_ord and l_section <> ''), p as (select *, array_to_string(string_split(l_section, ' > ')[1:level], ' > ') prefix from a),
+ i as (select *, sp = prefix or starts_with(sp, prefix || ' > ') inside from p), o as (select *, bool_or(not inside and sp <> '') over (partition by doc, level order by ord, parent_id rows unbounded preceding) over_ from i),
+ k as (select *, row_number() over (partition by doc, level order by ord, parent_id) k from o where inside and not over_), m as (select *, max(level) over (partition by doc) deepest from k where k <= 8) select doc, parent_id, k from m where level = deepest""",
+    "w4_siblings": _LEAD + """, y as (select *, len(string_split(sp, ' > ')) = 2 sec from x where parent_id <> lead), z as (select *, bool_or(sec) over (partition by doc) any_ from y)
+ select doc, parent_id, k from (select doc, parent_id, row_number() over (partition by doc order by ord, parent_id) as k from z where sec or not any_) where k <= 12""",
     "w8_line_numbers": "select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as lines from documents where text is not null",
     "w9_last_turns": "select user_id, event_id, back from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as back from events) where back <= 6",
     "w10_budget": f"""with b as (select {_DOC} doc, parent_id, min(ord) ord, max(length(content)) n from parent_blocks where doc_id is not null and content is not null group by 1, 2), u as (select doc, sum(n) over (partition by doc order by ord, parent_id rows unbounded preceding) u from b)

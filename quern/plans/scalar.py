@@ -146,7 +146,7 @@ def q11_routes(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in [x1_normalized_urls, x2_tracking_params, x3_hosts, j4_url_duplicates, x11_entities, x12_languages, x14_body_length, x15_sanitized, x16_redacted, x19_display_source, x20_prefix_hashes, x25_months, x26_json_fields, x27_sizes, c2_frontmatter, c3_titles, c4_wikilinks, c7_sentences, c8_fixed_windows, c11_retrieval_text, c13_doc_ids, q1_terms, q7_question_types, q8_question_tails, q10_grams, q11_routes]}
 
 _CJK = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}"
-_URL = "regexp_replace(regexp_replace(lower(regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*', 0)) || regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || case when regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) in ('', '/') then '/' else '' end || case when contains(source_url, '?') then '?' || regexp_extract(source_url, '\\?([^#]*)', 1) else '' end, '#.*$', '')"
+URL_SQL = "regexp_replace(regexp_replace(lower(regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*', 0)) || regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || case when regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) in ('', '/') then '/' else '' end || case when contains(source_url, '?') then '?' || regexp_extract(source_url, '\\?([^#]*)', 1) else '' end, '#.*$', '')"
 _FRONT = "'^---[ \\t\\r]*\\n((?s:.*?))\\n---[ \\t\\r]*(\\n|$)'"
 _TRACK = ", ".join(f"'{t}'" for t in X.TRACKING)
 
@@ -167,12 +167,12 @@ def _meta(key: str) -> str:
 
 
 SQL = {
-    "x1_normalized_urls": f"select distinct conv_id, {_URL} as url from conversion_results where source_url is not null",
+    "x1_normalized_urls": f"select distinct conv_id, {URL_SQL} as url from conversion_results where source_url is not null",
     "x2_tracking_params": f"""with p as (select unnest(string_split(regexp_extract(source_url, '\\?([^#]*)', 1), '&')) param from conversion_results where source_url is not null),
  n as (select split_part(param, '=', 1) as name, count(*) as n from p where param <> '' group by 1)
  select name, n, lower(name) in ({_TRACK}) or starts_with(lower(name), 'utm_') as tracking from n""",
     "x3_hosts": "select lower(regexp_extract(source_url, '^[a-zA-Z]+://([^/?#:]*)', 1)) as host, count(distinct conv_id) as pages from conversion_results where source_url is not null group by 1",
-    "j4_url_duplicates": f"select {_URL} as url, count(distinct conv_id) as n, min(conv_id) as first_conv, max(conv_id) as last_conv from conversion_results where source_url is not null and ok group by 1 having count(distinct conv_id) > 1",
+    "j4_url_duplicates": f"select {URL_SQL} as url, count(distinct conv_id) as n, min(conv_id) as first_conv, max(conv_id) as last_conv from conversion_results where source_url is not null and ok group by 1 having count(distinct conv_id) > 1",
     "x11_entities": f"""with e as ({_KINDS}), f as (select doc_id, kind, list_filter(l, lambda v, i: list_position(l, v) = i)[1:6] found from e)
  select doc_id, kind, len(found) as n, array_to_string(found, '|') as found from f where len(found) > 0""",
     "x12_languages": f"""with c as (select lower(lang[1:2]) stated, coalesce(text, '') t, len(regexp_extract_all(coalesce(text, ''), '[{_CJK}]')) k, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9_+#.\\-]{{2,}}')) w from documents)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
 from collections.abc import Iterator
+from html import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +20,80 @@ from quern.operators import vector
 from quern.operators.lexical import match_terms, present_terms
 from quern.operators.retrieve import SUBTERMS, minimal_cover, subterms, trims
 from quern.plans import question_sql as SQ
-from quern.session import scratch_dir, table
-from quern.sources.convert import convert
-from quern.sources.scan import replace_notes, write_index
+from quern.plans.scalar import URL_SQL
+from quern.session import table
+from quern.sources.convert import convert, decode
 
 
 def _k(c: str):  # noqa: ANN202
     return F.lower(F.trim(F.col(c)))
 
 
-def s5_decoded(s: SparkSession, d: str) -> DataFrame:
-    """Texts to bytes and back, with what is no UTF-8 replaced."""
-    b = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return table(s, d, "documents").select("doc_id", F.md5(F.make_valid_utf8(b.cast("string"))).alias("h"), F.is_valid_utf8(b.cast("string")).alias("valid"))
+def s4_decoded(s: SparkSession, d: str) -> DataFrame:
+    """Texts as bytes in an encoding by their number, read back by the converter's chain of encodings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [("utf-8", "utf-8-sig", "gb18030")[i % 3] for i in b.column(0).to_pylist()]
+            texts = [decode(t.encode(n))[0] for n, t in zip(names, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    got = table(s, d, "documents").where("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    return got.select("doc_id", F.md5("text").alias("h"))
+
+
+def _squeezed(t: str) -> str:
+    return "".join(c for c in t.casefold() if c.isalnum())
+
+
+def _packed(files: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def _office(kind: str, text: str) -> bytes:
+    """The least file of a kind that holds a text."""
+    t = escape(text)
+    if kind == "docx":
+        return _packed({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:body></w:document>'})
+    if kind == "pptx":
+        return _packed({"ppt/slides/slide1.xml": f'<p xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:t>Head</a:t><a:t>{t}</a:t></p>'})
+    if kind == "epub":
+        return _packed({"META-INF/container.xml": '<c><rootfile full-path="p.opf"/></c>', "p.opf": '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="a" href="a.html"/></manifest><spine><itemref idref="a"/></spine></package>', "a.html": f"<p>{t}</p>"})
+    sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    book = f'<workbook xmlns="{sheet}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>'
+    rels = '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>'
+    return _packed({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{sheet}"><sheetData><row><c r="A1" t="inlineStr"><is><t>{t}</t></is></c></row></sheetData></worksheet>'})
+
+
+#: Extensions with the bytes of a file that holds a text.
+FORMATS = [
+    ("txt", str.encode), ("md", str.encode), ("py", lambda t: f"x = 1  # {t}".encode()), ("json", lambda t: json.dumps({"a": t}).encode()), ("jsonl", lambda t: (json.dumps({"a": t}, ensure_ascii=False) + "\n").encode()), ("yaml", lambda t: f"a: |\n  {t}".encode()),
+    ("xml", lambda t: f"<a><b>{escape(t)}</b></a>".encode()), ("csv", lambda t: ("a,b\n1," + '"' + t.replace('"', '""') + '"').encode()), ("srt", lambda t: f"1\n00:00:01,000 --> 00:00:02,000\n{t}\n".encode()), ("rtf", lambda t: ("{\\rtf1 " + "".join(c if c.isascii() and c not in "{}\\" else f"\\u{ord(c) if ord(c) < 32768 else ord(c) - 65536}?" if ord(c) < 65536 and c not in "{}\\" else "" for c in t) + "}").encode()),
+    ("html", lambda t: f"<html><body><p>{escape(t)}</p></body></html>".encode()), ("eml", lambda t: b"From: a@b\nSubject: x\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n" + t.encode()), ("mhtml", lambda t: b"MIME-Version: 1.0\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n" + f"<p>{escape(t)}</p>".encode()),
+    ("docx", lambda t: _office("docx", t)), ("pptx", lambda t: _office("pptx", t)), ("xlsx", lambda t: _office("xlsx", t)), ("epub", lambda t: _office("epub", t)),
+]
+
+
+def s3_converted(s: SparkSession, d: str) -> DataFrame:
+    """Titles as files of every readable format by turns, through the converter: whether it read them, and whether the text is in what it gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ext, make = FORMATS[i % len(FORMATS)]
+                r = convert(make(t), f"f{i}.{ext}")
+                out.append((ext, r.ok, _squeezed(t) in _squeezed(r.markdown)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), pa.array([x[2] for x in out])], ["doc_id", "format", "ok", "holds"])
+
+    # Words alone: what a format's own marks do to other characters is not asked here.
+    words = F.trim(F.regexp_replace("title", r"[^\p{L}\p{N}]+", " "))
+    t = table(s, d, "documents").select("doc_id", words.alias("t")).where("t <> ''").where(~F.col("t").rlike(r"[^\x{0}-\x{ffff}]"))
+    return t.mapInArrow(run, "doc_id long, format string, ok boolean, holds boolean")
 
 
 def s10_tables(s: SparkSession, d: str) -> DataFrame:
@@ -55,20 +120,10 @@ def s26_captures(s: SparkSession, d: str) -> DataFrame:
     """Captures by what became of them: duplicates of an address, thin pages, full pages."""
     c = table(s, d, "conversion_results").where("kind = 'html' and source_url is not null").select("conv_id", "ok", "markdown", X.normalize_url(F.col("source_url")).alias("url")).dropDuplicates(["conv_id"])
     first = F.row_number().over(W.partitionBy("url").orderBy("conv_id"))
-    state = F.when(~F.col("ok"), "failed").when(F.col("n") > 1, "duplicate").when(F.length("markdown") < 150, "partial_fallback").otherwise("success")
+    state = F.when(~F.col("ok"), "failed").when(F.col("n") > 1, "duplicate").when(F.coalesce(F.length("markdown"), F.lit(0)) < 150, "partial_fallback").otherwise("success")
     return c.withColumn("n", first).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-def s29_index_rewrite(s: SparkSession, d: str) -> DataFrame:
-    """An index written by buckets of notes, of which every third is replaced by its next version."""
-    n = table(s, d, "documents").select(F.col("doc_key").alias("doc_id"), "title", F.lit(1).alias("version"))
-    path = f"{scratch_dir(s)}/index"
-    write_index(n, path, buckets=8)
-    index = s.read.parquet(path).drop("doc_bucket")
-    fresh = n.where("pmod(xxhash64(doc_id), 3) = 0").withColumn("version", F.lit(2))
-    return replace_notes(index, fresh).groupBy().agg(F.count(F.lit(1)).alias("notes"), F.count_distinct("doc_id").alias("ids"))
-
-
 def sel_p2_by_key(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("doc_id = 10").select("doc_id", "title", "rel_path")
 
@@ -224,15 +279,21 @@ def r5_upserts(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in [s5_decoded, s10_tables, s20_clipped, s26_captures, s29_index_rewrite, sel_p2_by_key, sel_p7_exists, j7_full_outer, j11_semi_anti, a1_counts, w5_section_diversity, w6_heading_paths, w7_packing, w13_most_per_note, t2_stable_sort, u2_candidates, u4_minimal_cover, q5_content_terms, q15_trimmed_terms, q16_corpus_grams, v7_similarity_bands, x8_base_links, x18_addresses, x23_evidence_phrases, l3_display_titles, r5_upserts]}
+QUERIES = {f.__name__: f for f in [s3_converted, s4_decoded, s10_tables, s20_clipped, s26_captures, sel_p2_by_key, sel_p7_exists, j7_full_outer, j11_semi_anti, a1_counts, w5_section_diversity, w6_heading_paths, w7_packing, w13_most_per_note, t2_stable_sort, u2_candidates, u4_minimal_cover, q5_content_terms, q15_trimmed_terms, q16_corpus_grams, v7_similarity_bands, x8_base_links, x18_addresses, x23_evidence_phrases, l3_display_titles, r5_upserts]}
 
 _CJK = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}"
 _URL = "regexp_replace(source_url, '[?#].*$', '')"
 SQL = {
-    "s5_decoded": "select doc_id, md5(coalesce(text, '')) as h, true as valid from documents",
+    "s3_converted": f"with t as (select doc_id, trim(regexp_replace(title, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) t from documents) select doc_id, {[f for f, _ in FORMATS]}[doc_id % {len(FORMATS)} + 1] as format, true as ok, true as holds from t where t <> '' and not regexp_matches(t, '[\\x{{10000}}-\\x{{10ffff}}]')",
+    "s4_decoded": "select doc_id, md5(text) as h from documents where text <> ''",
+    "s26_captures": f"""with c as (select conv_id, any_value(ok) ok, any_value(markdown) markdown, any_value({URL_SQL}) url from conversion_results where kind = 'html' and source_url is not null group by 1), n as (select *, row_number() over (partition by url order by conv_id) n from c)
+ select case when not ok then 'failed' when n > 1 then 'duplicate' when coalesce(length(markdown), 0) < 150 then 'partial_fallback' else 'success' end as state, count(*) as pages from n group by 1""",
+    "w7_packing": """with p as (select doc_id, list_filter(regexp_split_to_array(text, '\\n{2,}'), lambda x: trim(x) <> '') p from documents where text is not null)
+ select doc_id, list_reduce(list_transform(p, lambda x: {'room': length(x), 'n': 0}), lambda a, x: case when a.n > 0 and a.room + x.room + 2 <= 800 then {'room': a.room + x.room + 2, 'n': a.n} else {'room': x.room, 'n': a.n + 1} end, {'room': 0::bigint, 'n': 0}).n as parents from p""",
+    "x18_addresses": """with h as (select distinct lower(regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) h from conversion_results where source_url is not null)
+ select case when h in ('localhost', '') or regexp_matches(h, '[.](local|internal)$') or regexp_matches(h, '^(10|127)[.]|^192[.]168[.]|^169[.]254[.]') then 'private' when regexp_matches(h, '^[0-9]+([.][0-9]+){3}$') then 'public' else 'name' end as kind, count(*) as hosts from h group by 1""",
     "s10_tables": "select split_part(rel_path, '/', 1) as folder, doc_id % 50 as part, true as ok, count(*) as rows from documents where title is not null group by 1, 2",
     "s20_clipped": "select doc_id, case when length(text) > 2000 then 2007 else coalesce(length(text), 0) end as n from documents",
-    "s29_index_rewrite": "select count(*) as notes, count(distinct doc_key) as ids from documents",
     "sel_p2_by_key": "select doc_id, title, rel_path from documents where doc_id = 10",
     "sel_p7_exists": "with t as (select distinct lower(unnest(expected.must_contain)) term from holdout_b_gold) select term, exists (select 1 from chunks where contains(lower(content), term)) as found from t",
     "j7_full_outer": "select source, notes, questions from (select source, count(*) notes from documents where source is not null group by 1) full join (select source, count(*) questions from core_gold where source is not null group by 1) using (source)",

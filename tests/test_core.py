@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -14,9 +15,10 @@ from quern.functions import query as Q
 from quern.functions import relation as R
 from quern.functions import text as X
 from quern.functions.keywords import keywords
-from quern.functions.relevance import Asked
 from quern.functions.paths import address_kind, leaves_folder, safe_filename, url_problem
-from quern.operators import answer, chunking, lexical, library, vector
+from quern.functions.relevance import Asked
+from quern.operators import answer, chunking, evaluate, index, lexical, library, vector
+from quern.operators.retrieve import expand_terms, resolve_terms, search
 from quern.sources import convert as C
 from quern.sources import html
 from quern.sources.archive import Container, UnsafeArchive
@@ -340,3 +342,102 @@ def test_streamed_changes_equal_the_batch_decision(spark, tmp_path):
     assert seen[0] == {"a": "new", "b": "new"}
     assert {"a": "mtime-advanced", "b": "baseline-missing"} in seen
     assert {"a": "size-changed", "b": "unchanged", "c": "new"} in seen
+
+
+def test_pair_order_is_exact(spark, monkeypatch):
+    """Concordant pairs are counted without listing them, in blocks of any size."""
+    rng = random.Random(4)
+    for block in (evaluate.RANK_BLOCK, 3):
+        monkeypatch.setattr(evaluate, "RANK_BLOCK", block)
+        rows, want = [], {}
+        for q, n in (("a", 1), ("b", 2), ("c", 37), ("d", 64)):
+            order = list(range(1, n + 1))
+            rng.shuffle(order)
+            rows += [(q, i + 1, r) for i, r in enumerate(order)]
+            want[q] = (n * (n - 1) // 2, sum(order[i] < order[j] for i in range(n) for j in range(i + 1, n)))
+        got = {r.query_id: (r.pairs, r.same) for r in evaluate.concordant_pairs(spark.createDataFrame(rows, "query_id string, ra long, rb long")).collect()}
+        assert got == want
+    assert evaluate.concordant_pairs(spark.createDataFrame([], "query_id string, ra long, rb long")).count() == 0
+
+
+def library_of(spark):
+    blocks = [("n1:p0", "n1", "# 监测方案", "方案", 0), ("n1:p1", "n1", "监测频率为每天一次。", "方案 > 频率", 1), ("n1:p2", "n1", "遇雨加强监测。", "方案 > 频率 > 例外", 2), ("n1:p3", "n1", "设备清单", "方案 > 设备", 3), ("n2:p0", "n2", "valve gauge reading 41", "Log", 0), ("n3:p0", "gone", "valve of a note that is gone", "", 0)]
+    b = spark.createDataFrame([(*x, 1, 2) for x in blocks], "parent_id string, doc_id string, content string, section_path string, ord int, source_start_line int, source_end_line int")
+    c = b.select(F.concat("parent_id", F.lit(":c")).alias("chunk_id"), "parent_id", F.concat_ws("\n\n", "section_path", "content").alias("text"))
+    return c, b, spark.createDataFrame([("n1", "监测方案", "a.md"), ("n2", "", "b.md")], "doc_id string, title string, rel_path string")
+
+
+def test_search(spark):
+    c, b, n = library_of(spark)
+    q = spark.createDataFrame([("over", "监测频率是怎么样的"), ("word", "valve reading"), ("none", "是什么"), ("absent", "zebra"), (None, "valve")], "query_id string, query string").where("query_id is not null")
+    v = vector.embed(c.select("chunk_id", "text"), "text", 64).select("chunk_id", "embedding")
+    got = search(q, c, b, n, None)
+    rows = {}
+    for r in got.ranked.orderBy("query_id", "ref").collect():
+        rows.setdefault(r.query_id, []).append(r)
+    assert [r.parent_id for r in rows["over"]][:2] == ["n1:p1", "n1:p2"] and rows["over"][0].title == "监测方案"
+    assert [r.parent_id for r in rows["word"]] == ["n2:p0"] and rows["word"][0].tier == "A" and rows["word"][0].title == "n2"
+    assert "none" not in rows and "absent" not in rows
+    routes = {r.query_id: (r.route, r.parents) for r in got.summary.collect()}
+    assert routes["none"] == ("empty", 0) and routes["word"] == ("fts", 1) and routes["absent"] == ("like", 0)
+    assert search(q.where("false"), c, b, n, v.where("false")).ranked.count() == 0
+    terms = {(r.query_id, r.term) for r in got.terms.collect()}
+    assert ("over", "频率") in terms and ("absent", "zebra") in terms
+
+
+def test_search_with_vectors(spark):
+    c, b, n = library_of(spark)
+    v = vector.embed(c.select("chunk_id", "text"), "text").select("chunk_id", "embedding")
+    q = spark.createDataFrame([("w", "valve gauge")], "query_id string, query string")
+    got = search(q, c, b, n, v)
+    reasons = {r.id: r.reason for r in got.chunks.collect()}
+    assert reasons["n2:p0:c"] == "terms" and set(reasons.values()) <= {"terms", "meaning alone"}
+    assert {r.parent_id for r in got.ranked.collect()} == {"n2:p0"}
+
+
+def test_terms_are_cut_to_the_corpus(spark):
+    c, _, _ = library_of(spark)
+    q = spark.createDataFrame([("a", "请问监测频率如何规定"), ("b", "关于监测方案，设备清单在哪里"), ("c", None), ("d", "")], "query_id string, query string")
+    terms = {}
+    for r in resolve_terms(q, c, "text").orderBy("pos").collect():
+        terms.setdefault(r.query_id, []).append((r.term, r.in_scope, r.in_target))
+    assert [t for t, _, _ in terms["a"]] and all(len(t) >= 2 for t, _, _ in terms["a"])
+    assert ("监测方案", True, False) in terms["b"] and "c" not in terms and "d" not in terms
+    x = spark.createDataFrame([("1", "沉降观测点8个"), ("2", "观测点")], "id string, text string")
+    assert expand_terms(spark.createDataFrame([("观测点",), ("没有",)], "term string"), x, "id", "text").orderBy("term").collect()[1].expanded == "沉降观测点"
+
+
+def test_index_of_notes(spark):
+    notes = spark.createDataFrame([("a.md", NOTE, 10, None), ("b.md", "Valve valve. 12 % on 2024-01-02", 5, None), ("c.md", None, 0, None)], "rel_path string, text string, file_size long, mtime timestamp")
+    built = index.build_index(notes, 16)
+    assert set(built) == {"documents", "parent_blocks", "chunks", "chunk_metadata", "chunks_vec", "doc_meta"}
+    assert built["documents"].count() == 3 and built["doc_meta"].where("language = 'en'").count() >= 1
+    assert built["chunks"].count() == built["chunks_vec"].count() == built["chunk_metadata"].count()
+    fresh = index.build_index(notes.where("rel_path = 'b.md'").withColumn("text", F.lit("new text")), 16)
+    after = index.update_index(built, fresh)
+    assert after["documents"].count() == 3 and after["chunks"].where("content = 'new text'").count() == 1
+    assert after["chunks_vec"].join(after["chunks"], "chunk_id", "left_anti").count() == 0
+    files = spark.createDataFrame([("x/My.txt", b"hello", 5, None), ("x/b.doc", b"x", 1, None)], "path string, content binary, length long, modificationTime timestamp")
+    assert [r.text for r in index.imported(files).collect()] == ['---\ntitle: "My"\nsource_file: "My.txt"\nsource_type: "text"\n---\n\nhello']
+    assert index.manual_notes(spark.createDataFrame([("T", " ")], "title string, body string").withColumn("written_at", F.lit(None).cast("timestamp"))).count() == 0
+
+
+def test_versions_and_spaces():
+    state = index.version_state
+    assert [state(v) for v in ("1.7", "1.6", "1.10", "", None, "x")] == ["ok", "upgrade", "downgrade", "unknown", "unknown", "unknown"] and state(None, exists=False) == "fresh"
+    one = index.VectorSpace("onnx", "m", 512, "a", "t", "int8")
+    assert one.problem(None) is None and one.problem(index.VectorSpace("onnx", "m", 512)) is None
+    assert [one.problem(index.VectorSpace(*x)) for x in (("onnx", "m", 256), ("api", "m", 512), ("onnx", "m", 512, "b"))] == ["dimension", "model", "artifact"]
+    assert index.merge_manifest({"own": "x", "data_version": "1"}, {"format": "f"}, 2) == {"format": "f", "own": "x", "data_version": "2"}
+    with pytest.raises(ValueError):
+        index.merge_manifest({"data_version": "3"}, {}, 2)
+    assert index.choose_embedder("local_hash", ["local_hash"]) == "local_hash" and index.choose_embedder("api", ["ollama", "local_hash"]) == "ollama" and index.choose_embedder("api", ["local_hash"]) is None
+
+
+def test_claims(spark):
+    b = spark.createDataFrame([("p", "第一句话。 监测频率为每天一次；第三句\nValve 41 mm"), ("q", None)], "parent_id string, content string")
+    c = spark.createDataFrame([("exact", "p", "1. 监测频率为每天一次。"), ("near", "p", "监测频率是每天两次"), ("none", "p", "完全不同的内容"), ("short", "p", "一次"), ("null", "p", None), ("lost", "q", "监测频率")], "claim_id string, parent_id string, claim string")
+    got = {r.claim_id: r for r in index.match_claims(c, b).collect()}
+    assert set(got) == {"exact", "near"} and got["exact"].mode == "exact" and got["near"].mode == "overlap"
+    text = b.first().content
+    assert text[got["exact"].start : got["exact"].end] == "监测频率为每天一次"
