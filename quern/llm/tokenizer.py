@@ -14,6 +14,7 @@ tokens are ordinary text. Columns besides id and text are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -38,9 +39,9 @@ LETTERS = [chr(0x100 + b) for b in range(256)]
 _TO_LETTERS = dict(enumerate(LETTERS))
 
 
-def read_ranks(path: str) -> list[bytes]:
-    """Byte strings in the order of their ids."""
-    rows = (line.split() for line in Path(path).read_bytes().splitlines() if line.strip())
+def read_ranks(data: bytes) -> list[bytes]:
+    """Byte strings in the order of their ids, from a vocabulary file's bytes."""
+    rows = (line.split() for line in data.splitlines() if line.strip())
     ranked = sorted((int(r), base64.b64decode(t)) for t, r in rows)
     if [r for r, _ in ranked] != list(range(len(ranked))):
         raise ValueError("ranks must run from 0 without gaps")
@@ -81,11 +82,11 @@ def sentencepiece_model(pieces: list[bytes]) -> bytes:
 class Encoder:
     """Encodes and decodes with one vocabulary; holds a bounded memory of pre-tokens."""
 
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN) -> None:
+    def __init__(self, data: bytes, pattern: str = PATTERN) -> None:
         import regex
         import sentencepiece
 
-        self.pieces = read_ranks(path)
+        self.pieces = read_ranks(data)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.pieces))
         self.cut = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
@@ -106,14 +107,21 @@ class Encoder:
         return b"".join(self.pieces[i] for i in ids).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
-def encoder(path: str = VOCABULARY) -> Encoder:
-    """The process's encoder of a vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(data: bytes | None = None) -> Encoder:
+    """The process's encoder of a vocabulary, given as its file's bytes."""
+    data = Path(VOCABULARY).read_bytes() if data is None else data
+    key = hashlib.blake2b(data, digest_size=16).digest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(data)
+    return _ENCODERS[key]
+
+
+def _sent(df: DataFrame, path: str):  # noqa: ANN202
+    """The vocabulary file, read on the driver and sent to the workers: under 1 MB, whatever the data."""
+    return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
 #: Characters of text encoded at once, which bounds a worker's memory.
@@ -135,9 +143,10 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of every row; no shuffle."""
     fields = [df.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
+    held = _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(held.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):
@@ -151,9 +160,10 @@ def count_tokens(df: DataFrame, text_col: str = "text", path: str = VOCABULARY,
     """All columns but the text, and the number of its tokens; no shuffle."""
     keep = [c for c in df.columns if c != text_col]
     fields = [*[df.schema[c] for c in keep], T.StructField(name, T.LongType(), False)]
+    held = _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(held.value)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             for i, j in slices(texts):
@@ -170,9 +180,10 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def decode(df: DataFrame, id_col: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
     """``id_col`` and ``text`` of ids by the inverse mapping; no shuffle. Null ids and no ids give an empty text."""
+    held = _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(held.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
