@@ -6,37 +6,39 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import markdown as M
 from quern.functions.text import doc_id_of, retrieval_text
 from quern.session import table
 
-_PARENTS = "doc_id string, parent_id string, ord int, content string, section_path string, source_start_line int, source_end_line int, children array<string>"
+_PARENTS = "doc_id string, parent_id string, ord int, content string, section_path string, source_start_line int, source_end_line int, children array<string>, first_child int"
 
 
 def parse_notes(notes: DataFrame) -> DataFrame:
-    """Parents of notes (``rel_path, text``), with their children as an array.
+    """Parents of notes (``rel_path, text``), with their children as an array and the number of children before them.
 
     Null and empty texts have no parents. Ids come from the path, so they are the
     same in every run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.string()), ("parent_id", pa.string()), ("ord", pa.int32()), ("content", pa.string()), ("section_path", pa.string()), ("source_start_line", pa.int32()), ("source_end_line", pa.int32()), ("children", pa.list_(pa.string()))])
+        schema = pa.schema([("doc_id", pa.string()), ("parent_id", pa.string()), ("ord", pa.int32()), ("content", pa.string()), ("section_path", pa.string()), ("source_start_line", pa.int32()), ("source_end_line", pa.int32()), ("children", pa.list_(pa.string())), ("first_child", pa.int32())])
         for b in batches:
-            rows = [(d, f"{d}:p{i}", i, p.content, p.section_path, p.first_line, p.last_line, p.children) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for i, p in enumerate(M.parse_note(t))]
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = 0
+                for i, p in enumerate(M.parse_note(t) if t else ()):
+                    rows.append((d, f"{d}:p{i}", i, p.content, p.section_path, p.first_line, p.last_line, p.children, n))
+                    n += len(p.children)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return notes.select(doc_id_of(F.col("rel_path")).alias("doc_id"), "text").mapInArrow(run, _PARENTS)
 
 
 def children(parents: DataFrame) -> DataFrame:
-    """Children with an id that counts through the note: the running sum of the parents' numbers of children."""
-    n = F.size("children")
-    before = F.coalesce(F.sum(n).over(W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    x = parents.withColumn("_before", before).select("doc_id", "parent_id", "section_path", "_before", F.posexplode("children").alias("pos", "content"))
+    """Children with an id that counts through the note, from the number each parent begins with; no shuffle."""
+    x = parents.select("doc_id", "parent_id", "section_path", F.col("first_child").alias("_before"), F.posexplode("children").alias("pos", "content"))
     no = F.col("_before") + F.col("pos")
     return x.select(F.concat("doc_id", F.lit(":c"), no.cast("string")).alias("chunk_id"), no.cast("int").alias("chunk_ord"), "doc_id", "parent_id", "content", "section_path", retrieval_text(F.col("section_path"), F.col("content")).alias("retrieval_text"))
 

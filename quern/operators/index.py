@@ -67,7 +67,7 @@ def build_index(notes: DataFrame, dim: int = 512) -> dict[str, DataFrame]:
     ).join(words.select("doc_id", cut(F.array_join("keywords", " "), KEYWORD_CHARS).alias("keywords")), "doc_id")
     return {
         "documents": docs,
-        "parent_blocks": parents.drop("children"),
+        "parent_blocks": parents.drop("children", "first_child"),
         "chunks": kids,
         "chunk_metadata": kids.select("chunk_id", "doc_id", "parent_id", F.length("content").alias("char_len")),
         "chunks_vec": vector.embed(kids.select("chunk_id", "retrieval_text"), "retrieval_text", dim).select("chunk_id", "embedding"),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.operators.skew import lookup
+from quern.operators.skew import lookup, merged
 from quern.session import table
 
 #: Integers are sorted and matched within blocks of this many; runs end at block borders.
@@ -75,10 +75,10 @@ def find_orphans(refs: DataFrame, parents: DataFrame, deleted: DataFrame | None
     known = parents.select(norm_key(F.col("key")).alias("_key"), "at").where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("at").alias("_first"))
     used = rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count(F.lit(1)).alias("_refs"))
     matched = beyond_runs(used, runs_of(known, "_key"), "_key")
-    facts = matched.join(known, "_key", "left")
+    facts = merged(matched, known, "_key", "left")
     if deleted is not None:
         gone = deleted.select(norm_key(F.col("key")).alias("_key")).where(F.col("_key").isNotNull()).distinct().withColumn("_gone", F.lit(True))
-        facts = facts.join(gone, "_key", "left")
+        facts = merged(facts, gone, "_key", "left")
     else:
         facts = facts.withColumn("_gone", F.lit(None).cast("boolean"))
     facts = facts.where(~F.col("present") | F.col("_gone") | F.col("_first").isNotNull())
