@@ -25,6 +25,31 @@ def assign(membership: DataFrame, changes: DataFrame, collections: DataFrame) ->
     return membership.join(changes.select("doc_id"), "doc_id", "left_anti").select("doc_id", "collections").unionByName(emptied)
 
 
+def create_collection(collections: DataFrame, id_: str, name: str, created_at: str) -> DataFrame:
+    """Collections (``id, name, created_at``) with one more; an id that is there already is kept as it is."""
+    spark = collections.sparkSession
+    new = spark.createDataFrame([(id_, name, created_at)], "id string, name string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return collections.unionByName(new.join(collections.select("id"), "id", "left_anti"))
+
+
+def rename_collections(collections: DataFrame, names: DataFrame) -> DataFrame:
+    """Collections with new names (``id, name``); blank names change nothing."""
+    fresh = names.where(F.trim("name") != "").select("id", F.trim("name").alias("_name"))
+    return collections.join(fresh, "id", "left").withColumn("name", F.coalesce("_name", "name")).drop("_name")
+
+
+def drop_collections(collections: DataFrame, gone: DataFrame) -> DataFrame:
+    """Collections without some; their notes stay."""
+    return collections.join(gone.select("id"), "id", "left_anti")
+
+
+def in_trash(log: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Notes that are in the trash by its log (``trashed_at, restored_at``): the last entry of each counts."""
+    order = F.struct(F.coalesce("trashed_at", F.lit("1970-01-01").cast("timestamp")), F.coalesce("restored_at", F.lit("9999-01-01").cast("timestamp")))
+    last = log.groupBy(key).agg(F.max_by(F.struct("restored_at", "trashed_at"), order).alias("e"))
+    return last.where("e.restored_at is null").select(key, F.col("e.trashed_at").alias("trashed_at"))
+
+
 def delete_collection(membership: DataFrame, collection: str) -> DataFrame:
     """Memberships without a collection; its notes stay."""
     return membership.withColumn("collections", F.array_remove("collections", collection))

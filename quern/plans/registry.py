@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators import answer, chunking, evaluate, guard, index, library, orphans, retrieve, vector
-from quern.plans import relational, scalar, surface
+from quern.plans import relational, scalar, surface, upkeep
 from quern.streaming import sync
 
-_MODULES = [orphans, scalar, relational, chunking, vector, retrieve, guard, answer, evaluate, library, index, sync, surface]
+_MODULES = [orphans, scalar, relational, chunking, vector, retrieve, guard, answer, evaluate, library, index, sync, surface, upkeep]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

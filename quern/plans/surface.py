@@ -162,15 +162,6 @@ def w5_section_diversity(s: SparkSession, d: str) -> DataFrame:
     return b.withColumn("turn", turn).select("doc", "parent_id", place.alias("place")).where("place <= 5")
 
 
-def w6_heading_paths(s: SparkSession, d: str) -> DataFrame:
-    """Section of each second-level heading: the last top heading before it, by a running value over the lines."""
-    lines = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("line like '#%'")
-    h = lines.withColumn("level", F.length(F.regexp_extract("line", "^(#{1,6}) ", 1))).where("level > 0")
-    w = W.partitionBy("doc_id").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
-    top = F.last(F.when(F.col("level") == 1, F.col("line")), ignorenulls=True).over(w)
-    return h.select("doc_id", "no", "level", top.alias("top")).where("level = 2").select("doc_id", "no", "top")
-
-
 def w7_packing(s: SparkSession, d: str) -> DataFrame:
     """Blocks of text packed greedily to 800 characters by a fold over the array."""
     parts = F.filter(F.split("text", "\n{2,}"), lambda x: F.trim(x) != "")
@@ -241,13 +232,6 @@ def v7_similarity_bands(s: SparkSession, d: str) -> DataFrame:
     return vector.nearest(e, q, 5).groupBy(F.floor(sim * 10).cast("long").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(sim >= vector.SEMANTIC_FLOOR).alias("grounded"))
 
 
-def x8_base_links(s: SparkSession, d: str) -> DataFrame:
-    """Links of pages by whether they stay on their site."""
-    u = F.explode(F.regexp_extract_all("markdown", F.lit(r"\]\(([^)\s]+)\)"), 1)).alias("u")
-    c = table(s, d, "conversion_results").where("kind = 'html' and markdown is not null").select("conv_id", u).distinct()
-    return c.groupBy("conv_id").agg(F.count_if(F.col("u").startswith("/")).alias("inner"), F.count_if(F.col("u").startswith("http")).alias("outer"))
-
-
 def x18_addresses(s: SparkSession, d: str) -> DataFrame:
     """Kinds of the hosts that pages come from."""
 
@@ -279,7 +263,7 @@ def r5_upserts(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in [s3_converted, s4_decoded, s10_tables, s20_clipped, s26_captures, sel_p2_by_key, sel_p7_exists, j7_full_outer, j11_semi_anti, a1_counts, w5_section_diversity, w6_heading_paths, w7_packing, w13_most_per_note, t2_stable_sort, u2_candidates, u4_minimal_cover, q5_content_terms, q15_trimmed_terms, q16_corpus_grams, v7_similarity_bands, x8_base_links, x18_addresses, x23_evidence_phrases, l3_display_titles, r5_upserts]}
+QUERIES = {f.__name__: f for f in [s3_converted, s4_decoded, s10_tables, s20_clipped, s26_captures, sel_p2_by_key, sel_p7_exists, j7_full_outer, j11_semi_anti, a1_counts, w5_section_diversity, w7_packing, w13_most_per_note, t2_stable_sort, u2_candidates, u4_minimal_cover, q5_content_terms, q15_trimmed_terms, q16_corpus_grams, v7_similarity_bands, x18_addresses, x23_evidence_phrases, l3_display_titles, r5_upserts]}
 
 _CJK = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}"
 _URL = "regexp_replace(source_url, '[?#].*$', '')"
@@ -301,8 +285,6 @@ SQL = {
     "a1_counts": "select count(*) as n, count(distinct chunk_id) as ids, max(char_len) as longest from chunk_metadata",
     "w5_section_diversity": """with b as (select lower(trim(doc_id)) doc, parent_id, min(ord) ord, min(section_path) sp from parent_blocks where doc_id is not null and section_path <> '' group by 1, 2), t as (select *, row_number() over (partition by doc, sp order by ord, parent_id) turn from b)
  select * from (select doc, parent_id, row_number() over (partition by doc order by turn, ord, parent_id) as place from t) where place <= 5""",
-    "w6_heading_paths": """with l as (select doc_id, string_split(text, chr(10)) l from documents where text is not null), x as (select doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 no from l), h as (select doc_id, no, line, length(regexp_extract(line, '^(#{1,6}) ', 1)) level from x where starts_with(line, '#')),
- t as (select doc_id, no, level, last_value(case when level = 1 then line end ignore nulls) over (partition by doc_id order by no rows unbounded preceding) top from h where level > 0) select doc_id, no, top from t where level = 2""",
     "w13_most_per_note": "with c as (select distinct lower(trim(doc_id)) doc, chunk_id from chunks where doc_id is not null and content like '%value%') select doc, chunk_id from (select *, row_number() over (partition by doc order by chunk_id) k from c) where k <= 2",
     "t2_stable_sort": "select chunk_id, max(char_len) as n from chunk_metadata where char_len is not null group by 1 order by n desc, chunk_id limit 100",
     "u2_candidates": "select lower(trim(doc_id)) as doc from trash union select lower(trim(doc_key)) from documents where status <> 'success'",
@@ -318,7 +300,6 @@ SQL = {
  c as (select run, k o, left(run, n - k) term from k where k < m union all select run, 1000 + k, right(run, n - k) from k where k between 1 and m - 1), w as (select distinct term from c), f as (select term from w where exists (select 1 from chunks where contains(lower(content), lower(term)))) select run, arg_min(term, o) as term from c join f using (term) group by 1""",
     "v7_similarity_bands": """with k as (select q.vec_id q, e.vec_id v, list_distance(q.embedding::double[], e.embedding::double[]) d from embeddings q, embeddings e where q.vec_id % 20 = 0), r as (select d, row_number() over (partition by q order by round(d, 9), v) k from k), s as (select round(greatest(0, least(1, 1 - d * d / 2)), 4) s from r where k <= 5)
  select floor(s * 10)::bigint as band, count(*) as n, count(*) filter (s >= 0.6) as grounded from s group by 1""",
-    "x8_base_links": """with u as (select distinct conv_id, unnest(regexp_extract_all(markdown, '\\]\\(([^)\\s]+)\\)', 1)) u from conversion_results where kind = 'html' and markdown is not null) select conv_id, count(*) filter (starts_with(u, '/')) as inner, count(*) filter (starts_with(u, 'http')) as outer from u group by 1""",
     "x23_evidence_phrases": """with p as (select parent_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '[*_`#>|\\[\\]()]', ' ', 'g'), '[\\n.,;:!?。，；：！？]'), lambda v: trim(v)), lambda v: length(v) >= 4)[1:6] p from parent_blocks where content is not null)
  select distinct parent_id, len(p) as n, array_to_string(p, '|') as phrases from p""",
     "l3_display_titles": "select doc_id, case when doc_id % 4 = 0 then coalesce('* ' || title, '') else coalesce(title, '') end as shown from documents",

@@ -41,6 +41,11 @@ def documents_of(notes: DataFrame) -> DataFrame:
     )
 
 
+def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A store of JSON rows; a row that can't be read is an error, never an empty store."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def write_index(rows: DataFrame, path: str, buckets: int = 64, key: str = "doc_id") -> None:
     """Write a table of the index, partitioned by a hash of its note, so that a note's rows are replaced together."""
     rows.withColumn("doc_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("doc_bucket").option("partitionOverwriteMode", "dynamic").parquet(path)
