@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import markdown as M
 from quern.functions.text import doc_id_of, retrieval_text
+from quern.plans.question_sql import units_sql
 from quern.session import table
 
 _PARENTS = "doc_id string, parent_id string, ord int, content string, section_path string, source_start_line int, source_end_line int, children array<string>, first_child int"
@@ -65,7 +66,9 @@ def c8_children(s: SparkSession, d: str) -> DataFrame:
 
 
 def c14_units(s: SparkSession, d: str) -> DataFrame:
-    return units(table(s, d, "parent_blocks").where("parent_id is not null").dropDuplicates(["parent_id"])).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Evidence units of every block by kind."""
+    b = table(s, d, "parent_blocks").where("parent_id is not null").groupBy("parent_id").agg(F.max("content").alias("content"))
+    return units(b).groupBy("parent_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def c_tables_in_blocks(s: SparkSession, d: str) -> DataFrame:
@@ -78,4 +81,7 @@ def c_tables_in_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"c1_parse": c1_parse, "c8_children": c8_children, "c14_units": c14_units, "c10_table_lines": c_tables_in_blocks}
-SQL = {"c10_table_lines": "with l as (select parent_id, string_split(content, chr(10)) l from parent_blocks where content is not null), c as (select parent_id, len(list_filter(l, lambda x: regexp_matches(x, '^\\s*\\|.*\\|\\s*$'))) as table_lines, len(list_filter(l, lambda x: regexp_matches(x, '^\\s*\\|[\\s:|-]+\\|\\s*$'))) as rules from l) select distinct * from c where rules > 0"}
+SQL = {
+    "c14_units": "with " + units_sql("select parent_id, max(content) content from parent_blocks where parent_id is not null and content is not null group by 1") + " select parent_id, kind, count(*) as n, sum(length(text)) as n_chars from u group by 1, 2",
+    "c10_table_lines": "with l as (select parent_id, string_split(content, chr(10)) l from parent_blocks where content is not null), c as (select parent_id, len(list_filter(l, lambda x: regexp_matches(x, '^\\s*\\|.*\\|\\s*$'))) as table_lines, len(list_filter(l, lambda x: regexp_matches(x, '^\\s*\\|[\\s:|-]+\\|\\s*$'))) as rules from l) select distinct * from c where rules > 0",
+}

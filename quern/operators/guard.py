@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import relation as R
+from quern.plans import question_sql as SQ
 from quern.session import table
 
 #: Blocks of a question that are looked at; the retrieval returns no more.
@@ -68,10 +69,10 @@ def g1_routes(s: SparkSession, d: str) -> DataFrame:
 
 def g4_verdicts(s: SparkSession, d: str) -> DataFrame:
     """A responsibility question about the section of each block, judged by that block."""
-    b = table(s, d, "parent_blocks").where("content is not null and parent_id is not null").dropDuplicates(["parent_id"])
-    q = b.select(F.col("parent_id").alias("query_id"), F.concat(F.regexp_extract("section_path", "([^>]*)$", 1), F.lit("由谁负责？")).alias("query"))
+    b = table(s, d, "parent_blocks").where("content is not null and parent_id is not null").groupBy("parent_id").agg(F.max("content").alias("content"), F.max("section_path").alias("section_path"))
+    q = b.select(F.col("parent_id").alias("query_id"), F.concat(F.trim(F.regexp_extract(F.coalesce("section_path", F.lit("")), "([^>]*)$", 1)), F.lit("由谁负责？")).alias("query"))
     ranked = b.select(F.col("parent_id").alias("query_id"), F.lit(1).alias("ref"), "parent_id", "section_path", "content")
-    return verdicts(q, ranked).groupBy("verdict", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return verdicts(q, ranked).select("query_id", "verdict", "rule", "owner")
 
 
 def g2_owners(s: SparkSession, d: str) -> DataFrame:
@@ -96,5 +97,9 @@ SQL = {
     "g1_routes": f"""with s as (select distinct parent_id, ord, regexp_extract(section_path, '([^>]*)$', 1) t from parent_blocks where parent_id is not null and section_path <> ''),
  x as (select distinct id query_id, query from core_gold union all select distinct parent_id, case (length(parent_id) + ord) % {len(ASKED)} {_ASKED} end from s), y as (select query_id, trim(coalesce(query, '')) q from x)
  select query_id, {_first(lambda c: str(c[1]).lower(), "false")} as guarded, {_first(lambda c: f"'{c[2]}'", "''")} as kind, {_part(3)} as anchor, {_part(4)} as target from y""",
+    "g4_verdicts": "with " + SQ.units_sql("select parent_id, max(content) content from parent_blocks where content is not null and parent_id is not null group by 1") + f""", s as (select parent_id, trim(regexp_extract(coalesce(max(section_path), ''), '([^>]*)$', 1)) || '由谁负责？' q from parent_blocks where content is not null and parent_id is not null group by 1),
+ r as (select parent_id, q, {_first(lambda c: str(c[1]).lower(), "false")} guarded, {_part(3)} anchor from s), m as (select r.parent_id, u.no, coalesce({_OWN.replace("content", "u.text")}) owner, row_number() over (partition by r.parent_id order by u.no) k from r join u on u.parent_id = r.parent_id where anchor <> '' and contains(u.text, anchor)),
+ f as (select parent_id, count(*) n, arg_min(owner, k) filter (owner is not null) owner from m group by 1)
+ select r.parent_id as query_id, case when not guarded or f.owner is not null then 'YES' else 'INSUFFICIENT' end as verdict, case when not guarded then 'not checked' when f.owner is not null then 'owner named' when f.n > 0 then 'found apart' else 'not found' end as rule, case when guarded then coalesce(f.owner, '') else '' end as owner from r left join f using (parent_id)""",
     "g2_owners": f"with o as (select parent_id, coalesce({_OWN}) as owner from parent_blocks where content is not null) select distinct parent_id, owner from o where owner is not null",
 }

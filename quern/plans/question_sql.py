@@ -52,3 +52,13 @@ def marks_sql(terms: str, tokens: str) -> str:
     bare = f"list_filter(list_transform({base}, lambda t: regexp_replace(trim(t), '^[{Q.ASKING}]+|[{Q.ASKING}]+$', '', 'g')), lambda t: length(t) >= 2)"
     kept = f"(case when len({bare}) > 0 then {bare} else list_filter({base}, lambda t: length(t) >= 2) end)"
     return f"list_transform(list_sort(list_transform({_distinct(kept)}, lambda t, i: {{'l': -length(t), 'i': i, 't': t}})), lambda x: x.t)[1:{Q.HIGHLIGHTS}]"
+
+
+def units_sql(blocks: str) -> str:
+    """Tables ``u`` of the evidence units (``parent_id, no, kind, text``) of blocks (``parent_id, content``), to be put before a select."""
+    marks = "[-\u2022*\t \u3000]"
+    return f"""b as ({blocks}), l0 as (select parent_id, regexp_split_to_array(content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') l from b), l1 as (select parent_id, unnest(l) line, generate_subscripts(l, 1) no from l0),
+ l2 as (select *, regexp_replace(line, '^[\\s\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{3000}}]+$', '', 'g') s from l1), l3 as (select *, length(s) > 2 and s[1] = '|' and s[-1] = '|' tab from l2 where not regexp_full_match(s, '[|: -]*')),
+ l4 as (select *, tab and not coalesce(lag(tab) over (partition by parent_id order by no), false) head from l3), l5 as (select *, last_value(case when head then line end ignore nulls) over (partition by parent_id order by no rows unbounded preceding) h from l4),
+ n0 as (select parent_id, no, regexp_replace(regexp_replace(line, '^{marks}+', ''), '^[\\s\\x{{3000}}]+|[\\s\\x{{3000}}]+$', '', 'g') body from l5 where not tab), n1 as (select *, list_filter(list_transform(regexp_split_to_array(body, '[。！？；;]'), lambda v: regexp_replace(v, '^[\\s\\x{{3000}}]+|[\\s\\x{{3000}}]+$', '', 'g')), lambda v: v <> '') p from n0),
+ u as (select parent_id, no, case when head then 'table_header' else 'table_row' end kind, case when head then line else h || ' ' || line end as text from l5 where tab union all select parent_id, no, 'sentence', unnest(p) from n1 where len(p) > 1 union all select parent_id, no, 'line', body from n1 where len(p) <= 1)"""
