@@ -23,15 +23,19 @@ Null, empty and blank texts have their own tokens or none and need no case apart
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.tokenizer import count_tokens, encode
+from quern.llm.tokenizer import VOCABULARY, count_tokens, encode, read_ranks
 from quern.operators.skew import merged
 from quern.session import table, write_once
 
@@ -229,17 +233,62 @@ def mixed_blocks(docs: DataFrame, targets: DataFrame) -> DataFrame:
     A source's last block may be shorter than ``BLOCK``. Input as for ``mix``.
     """
     spark = docs.sparkSession
+    width = id_width()
     keyed = docs.select(F.struct("doc_id", norm_source(F.col("source")).alias("source")).alias("key"), "text")
-    coded = encode(keyed, "key").select("key.doc_id", "key.source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    coded = packed(encode(keyed, "key"), width).select("key.doc_id", "key.source", "ids", (F.octet_length("ids") / width).cast("long").alias("n_tokens"))
     coded = write_once(coded, "coded")
     named = targets.select(norm_source(F.col("source")).alias("source")).distinct()
-    slots = _slots(spark, targets, _totals(coded, named))
+    totals = _totals(coded.select("source", "n_tokens"), named)
+    # More tasks for more blocks, and slowly larger ones: some 13 MB each at ten million blocks.
+    tasks = max(1, math.ceil((sum(totals.values()) / BLOCK) ** 0.75 / 64))
+    slots = _slots(spark, targets, totals)
     usable = coded.select("doc_id", "source", "n_tokens").join(F.broadcast(named), "source", "left_semi").where("n_tokens > 0")
-    parts = merged(in_blocks(lay_out(usable).withColumn("from_token", F.col("first_token")), "from_token"), coded.select("doc_id", "source", "ids"), ["source", "doc_id"])
+    laid = in_blocks(lay_out(usable).withColumn("from_token", F.col("first_token")), "from_token").repartition(tasks, "source", "doc_id")
+    parts = merged(laid, coded.select("doc_id", "source", "ids").repartition(tasks, "source", "doc_id"), ["source", "doc_id"])
     at = F.greatest(F.col("block") * BLOCK - F.col("from_token"), F.lit(0))
-    cut = parts.select("source", "block", F.struct((F.col("from_token") + at).alias("at"), F.slice("ids", (at + 1).cast("int"), F.col("part").cast("int")).alias("ids")).alias("p"))
-    whole = cut.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.ids)).alias("ids"))  # bounded by the block's size
-    return merged(slots, whole, ["source", "block"]).select("mix_name", "shard", "place", "source", "block", "ids")
+    cut = parts.select("source", "block", F.struct((F.col("from_token") + at).alias("at"), F.substring("ids", (at * width + 1).cast("int"), (F.col("part") * width).cast("int")).alias("ids")).alias("p"))
+    joined = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(b""), lambda a, p: F.concat(a, p.ids))
+    whole = cut.repartition(tasks, "source", "block").groupBy("source", "block").agg(joined.alias("ids"))  # bounded by the block's size
+    out = merged(slots.repartition(tasks, "source", "block"), whole, ["source", "block"]).select("mix_name", "shard", "place", "source", "block", "ids")
+    return unpacked(out, width)
+
+
+def id_width(path: str = VOCABULARY) -> int:
+    """Bytes of an id of a vocabulary."""
+    return 2 if len(read_ranks(Path(path).read_bytes())) <= 1 << 16 else 4
+
+
+def _mapped_ids(df: DataFrame, kind: T.DataType, f: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The table with its last column ``ids`` mapped in batches."""
+    keep = df.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], f(b.column(len(keep)))], [*keep, "ids"])
+
+    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in keep], T.StructField("ids", kind)]))
+
+
+def packed(df: DataFrame, width: int) -> DataFrame:
+    """Lists of ids as bytes, low byte first, which halves what is shuffled."""
+
+    def pack(ids: pa.Array) -> pa.Array:
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))) * width
+        data = ids.flatten().to_numpy(zero_copy_only=False).astype(f"<u{width}").tobytes()
+        return pa.array([data[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+
+    return _mapped_ids(df, T.BinaryType(), pack)
+
+
+def unpacked(df: DataFrame, width: int) -> DataFrame:
+    """Bytes as lists of ids again."""
+
+    def unpack(data: pa.Array) -> pa.Array:
+        parts = [x or b"" for x in data.to_pylist()]
+        ends = np.append(0, np.cumsum([len(x) // width for x in parts])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), f"<u{width}").astype(np.int32)))
+
+    return _mapped_ids(df, T.ArrayType(T.IntegerType()), unpack)
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
