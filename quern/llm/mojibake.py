@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from quern.llm.textarrays import mix, points_of
 from quern.session import table
 
-#: Cells that pairs are counted in, two bytes each. A table with less than a fourth of them filled is folded to fewer, but not below ``LEAST``.
-CELLS, LEAST = 1 << 24, 1 << 20
+#: Cells that pairs are counted in, two bytes each. While less than one in ``SPARSE`` of them is filled, a table is folded to half, but not below ``LEAST``.
+#: A pair that the corpus lacks may hit a filled cell, so a table must be nearly empty for its verdicts to be sure.
+CELLS, LEAST, SPARSE = 1 << 24, 1 << 22, 512
 #: Share of the corpus from which on a pair is known (once at least).
 KNOWN = 1e-8
 #: Characters rarer than this count as this frequent, so that chance pairs of rare ones don't look bound together.
@@ -374,7 +375,7 @@ def pair_table(corpus: DataFrame, text_col: str = "text") -> PairTable:
         else:
             logs[r.block << 16 : r.block + 1 << 16] = np.frombuffer(zlib.decompress(r.logs), np.uint16)
             full += r.cells
-    while len(logs) > LEAST and full * 8 < len(logs):
+    while len(logs) > LEAST and full * SPARSE < len(logs):
         half = len(logs) // 2
         both = np.logaddexp(*[np.where(x > 0, (x - 1.0) / STEP, -np.inf) for x in (logs[:half], logs[half:])])
         logs = np.where(np.isfinite(both), 1 + np.rint(both * STEP), 0).astype(np.uint16)

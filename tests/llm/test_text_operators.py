@@ -199,6 +199,7 @@ def test_garbled_rows(spark):
     assert {x.row_id for x in M.find_garbled(r, table).collect()} == {1}
     assert {x.restored for x in M.find_garbled(r, table).where("row_id = 1").collect()} == {"Don’t"}
     assert M.find_garbled(r.where("false"), table).count() == 0
+    assert len(table.logs) == M.LEAST and (table.logs > 0).sum() * M.SPARSE < len(table.logs)
     empty = M.pair_table(docs.where("false"))
     assert empty.total == 1 and M.repair("", empty) == (False, "")
 
