@@ -61,7 +61,7 @@ def _shuffled(spark, run):
     return rows, sum(n for k, n in records().items() if k not in before)
 
 
-@pytest.mark.parametrize("query", [evaluate.a13_failures])
+@pytest.mark.parametrize("query", [evaluate.a13_failures, evaluate.j10_cited_lines])
 def test_pairs_of_question_and_chunk_are_not_shuffled(spark, library, query):
     rows, moved = _shuffled(spark, lambda: query(spark, library))
     assert rows and moved < 50 * 2000 / 2
