@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, lexical, postings
+from quern.operators import evaluate, lexical, postings, retrieve
 
 WORDS = ["pump", "Pump house", "valve", "e", "no", "台风", "杜鹃", "新闻", "报道", "1153", "zz", "never"]
 
@@ -61,7 +61,7 @@ def _shuffled(spark, run):
     return rows, sum(n for k, n in records().items() if k not in before)
 
 
-@pytest.mark.parametrize("query", [evaluate.a7_retrieval_metrics, evaluate.a13_failures, evaluate.j10_cited_lines])
+@pytest.mark.parametrize("query", [retrieve.q12_bm25, evaluate.a7_retrieval_metrics, evaluate.a13_failures, evaluate.j10_cited_lines])
 def test_pairs_of_question_and_chunk_are_not_shuffled(spark, library, query):
     rows, moved = _shuffled(spark, lambda: query(spark, library))
     assert rows and moved < 50 * 2000 / 2
