@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import query as Q
 from quern.operators import evaluate, lexical, postings, retrieve
 
 WORDS = ["pump", "Pump house", "valve", "e", "no", "台风", "杜鹃", "新闻", "报道", "1153", "zz", "never"]
@@ -34,6 +35,16 @@ def test_best_texts_and_blocks(spark, monkeypatch, by, pairs):
     assert postings.best(t.where("false"), x, by, "text", 4).count() == 0
 
 
+@pytest.mark.parametrize("at_hand", [True, False])
+def test_tier_counts(spark, monkeypatch, at_hand):
+    if not at_hand:
+        monkeypatch.setattr(lexical, "ahocorasick", None)
+    x, t = _made(spark)
+    plain = lexical.tiers(lexical.match_terms(t, x, "id", "text"), t, "id", Q.GENRE).groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("n"))
+    got = {tuple(r) for r in postings.tier_counts(t, x, "id", "text", Q.GENRE).collect()}
+    assert got == {tuple(r) for r in plain.collect()} and {k for _, k, _ in got} == {"A", "B", "C"}
+
+
 @pytest.fixture(scope="module")
 def library(spark, tmp_path_factory):
     """50 questions that are asked, 2,000 chunks that all hold their words."""
@@ -61,7 +72,7 @@ def _shuffled(spark, run):
     return rows, sum(n for k, n in records().items() if k not in before)
 
 
-@pytest.mark.parametrize("query", [retrieve.q12_bm25, evaluate.a7_retrieval_metrics, evaluate.a13_failures, evaluate.j10_cited_lines])
+@pytest.mark.parametrize("query", [retrieve.q12_bm25, evaluate.a7_retrieval_metrics, evaluate.a13_failures, evaluate.j10_cited_lines, retrieve.q19_tiers])
 def test_pairs_of_question_and_chunk_are_not_shuffled(spark, library, query):
     rows, moved = _shuffled(spark, lambda: query(spark, library))
     assert rows and moved < 50 * 2000 / 2
