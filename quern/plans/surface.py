@@ -19,6 +19,7 @@ from quern.functions.paths import address_kind
 from quern.operators import vector
 from quern.operators.lexical import match_terms, present_terms
 from quern.operators.retrieve import SUBTERMS, minimal_cover, subterms, trims
+from quern.operators.skew import merged
 from quern.plans import question_sql as SQ
 from quern.plans.scalar import URL_SQL
 from quern.session import table
@@ -211,15 +212,15 @@ def q15_trimmed_terms(s: SparkSession, d: str) -> DataFrame:
     """
     runs = table(s, d, "core_gold").select(F.explode(Q.tokens(F.col("query"))).alias("run")).where(Q.is_chinese(F.col("run")) & (F.length("run") >= 2)).distinct()
     c = runs.select("run", F.posexplode(trims(F.col("run"))).alias("at", "term"))
-    known = present_terms(c.select("term"), table(s, d, "chunks"), "content")
-    return c.join(known, "term").groupBy("run").agg(F.min_by("term", "at").alias("term"))
+    known = present_terms(c.select("term"), table(s, d, "chunks"), "content", Q.RUN)
+    return merged(c, known, "term").groupBy("run").agg(F.min_by("term", "at").alias("term"))
 
 
 def q16_corpus_grams(s: SparkSession, d: str) -> DataFrame:
     """Each Chinese run of three and more characters of all questions as the least subterms that chunks hold."""
     runs = table(s, d, "core_gold").select(F.explode(Q.content_terms(F.col("query"))).alias("run")).where(Q.is_chinese(F.col("run")) & (F.length("run") > 2)).distinct()
     c = runs.select("run", F.posexplode(subterms(F.col("run"))).alias("at", "term"))
-    known = present_terms(c.select("term"), table(s, d, "chunks"), "content")
+    known = present_terms(c.select("term"), table(s, d, "chunks"), "content", Q.RUN)
     held = c.join(known, "term").groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x.term).alias("a"))
     return held.select("run", F.array_join(F.slice(minimal_cover(F.col("a")), 1, SUBTERMS), "|").alias("terms"))
 

@@ -76,3 +76,19 @@ def _shuffled(spark, run):
 def test_pairs_of_question_and_chunk_are_not_shuffled(spark, library, query):
     rows, moved = _shuffled(spark, lambda: query(spark, library))
     assert rows and moved < 50 * 2000 / 2
+
+
+@pytest.mark.parametrize("runs", [None, Q.RUN])
+def test_many_terms_are_sought_by_several_automata(spark, monkeypatch, runs):
+    """More terms than one automaton holds are not joined on trigrams and not collected at once."""
+    monkeypatch.setattr(lexical, "AT_ONCE", 3)
+    monkeypatch.setattr(lexical, "SOUGHT_AT_ONCE", 3, raising=False)
+    monkeypatch.setattr(lexical, "_by_grams", None)
+    x = spark.createDataFrame([("台风杜鹃 Pump", 1), ("货架编号台风", 2), (None, 3), ("", 4), ("台 风向", 5)], "text string, id int")
+    terms = ["台风", "台风杜", "风杜鹃", "鹃", "货架编号", "编号台风", "风向", "台 风" if runs is None else "台风向", "杜鹃货", "号号", "", None, "PUMP" if runs is None else "风"]
+    t = spark.createDataFrame([(w,) for w in terms], "term string")
+    args = (runs,) if runs else ()
+    got = [r.term for r in lexical.present_terms(t, x, "text", *args).collect()]
+    known = {"台风", "台风杜", "风杜鹃", "鹃", "货架编号", "编号台风", "风向"} | ({"台 风", "PUMP"} if runs is None else {"风"})
+    assert sorted(got) == sorted(known)
+    assert lexical.present_terms(t.where("false"), x, "text", *args).count() == 0 == lexical.present_terms(t, x.where("false"), "text", *args).count()
