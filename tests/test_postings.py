@@ -92,3 +92,14 @@ def test_many_terms_are_sought_by_several_automata(spark, monkeypatch, runs):
     known = {"台风", "台风杜", "风杜鹃", "鹃", "货架编号", "编号台风", "风向"} | ({"台 风", "PUMP"} if runs is None else {"风"})
     assert sorted(got) == sorted(known)
     assert lexical.present_terms(t.where("false"), x, "text", *args).count() == 0 == lexical.present_terms(t, x.where("false"), "text", *args).count()
+
+
+def test_terms_are_resolved_without_a_join_on_trigrams(spark, monkeypatch):
+    q = spark.createDataFrame([("a", "台风杜鹃的路径图是什么？"), ("b", "根据记录，货架编号valve是多少")], "query_id string, query string")
+    x = spark.createDataFrame([(1, "台风杜鹃来了"), (2, "货架上，记录 valve")], "id int, text string")
+    want = {tuple(r) for r in retrieve.resolve_terms(q, x, "text").collect()}
+    monkeypatch.setattr(lexical, "AT_ONCE", 3)
+    monkeypatch.setattr(lexical, "SOUGHT_AT_ONCE", 3, raising=False)
+    monkeypatch.setattr(lexical, "_by_grams", None)
+    assert {tuple(r) for r in retrieve.resolve_terms(q, x, "text").collect()} == want
+    assert {"杜鹃", "货架", "valve"} <= {t for _, _, t, *_ in want}
