@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, retrieve, vector
+from quern.functions import relevance
+from quern.operators import evaluate, lexical, retrieve, vector
 from test_postings import _shuffled, library  # noqa: F401
 
 
@@ -48,3 +49,23 @@ def test_search_reads_blocks_once(spark, library, monkeypatch, query):  # noqa:
     monkeypatch.setattr(retrieve, "write_once", lambda df, name: written.append(name) or kept(df, name))
     assert query(spark, library).count()
     assert {"chunks", "blocks"} <= set(written) and "vectors" not in written
+
+
+def test_patterns_are_made_for_the_kinds_that_need_them():
+    """A task meets thousands of questions; only those for a quantity need a pattern of their own."""
+    block = relevance.Block("# Pump\nvalve 12 | 负责人", "Valves")
+    for kind in ("general", "person", "model", "quantity"):
+        asked = relevance.Asked("valve", kind, ["valve", "pump"], [2.0, 1.0], ["valve"])
+        assert asked.score(block) == asked.relevance(block.content, block.section) + asked.bonus(block.content, block.section)
+        assert ("digit" in vars(asked)) == (kind == "quantity")
+
+
+def test_both_strict_tiers_take_one_look_at_the_texts(spark, monkeypatch):
+    looks = []
+    plain = lexical.with_all_terms
+    monkeypatch.setattr(lexical, "with_all_terms", lambda w, t: looks.append(t) or plain(w, t))
+    x = spark.createDataFrame([("c1", "pump valve"), ("c2", "valve"), ("c3", "pump")], "id string, text string")
+    t = spark.createDataFrame([("a", 0, "pump", False), ("a", 1, "valve", True), ("b", 0, "pump", True)], "query_id string, pos int, term string, in_target boolean")
+    got = lexical.candidates(lexical.counted_terms(t, x, "id", "text"), x, t, 5, "id", "text")
+    assert sorted((r.query_id, r.id, r.tier) for r in got.collect()) == [("a", "c1", "A"), ("a", "c2", "B"), ("b", "c1", "A"), ("b", "c3", "A")]
+    assert len(looks) == 1
