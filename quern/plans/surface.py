@@ -17,7 +17,7 @@ from quern.functions import query as Q
 from quern.functions import text as X
 from quern.functions.paths import address_kind
 from quern.operators import vector
-from quern.operators.lexical import match_terms, present_terms
+from quern.operators.lexical import distinct_runs, match_terms, present_terms
 from quern.operators.retrieve import SUBTERMS, minimal_cover, subterms, trims
 from quern.operators.skew import merged
 from quern.plans import question_sql as SQ
@@ -211,8 +211,9 @@ def q15_trimmed_terms(s: SparkSession, d: str) -> DataFrame:
     All candidates of all questions meet the chunks in one pass.
     """
     runs = table(s, d, "core_gold").select(F.explode(Q.tokens(F.col("query"))).alias("run")).where(Q.is_chinese(F.col("run")) & (F.length("run") >= 2)).distinct()
-    c = runs.select("run", F.posexplode(trims(F.col("run"))).alias("at", "term"))
-    known = present_terms(c.select("term"), table(s, d, "chunks"), "content", Q.RUN)
+    held, longest = distinct_runs(table(s, d, "chunks"), "content", Q.RUN)
+    c = runs.select("run", F.posexplode(trims(F.col("run"), longest)).alias("at", "term"))
+    known = present_terms(c.select("term"), held, "low")
     return merged(c, known, "term").groupBy("run").agg(F.min_by("term", "at").alias("term"))
 
 
@@ -297,8 +298,8 @@ SQL = {
     "q16_corpus_grams": f"""with t as (select distinct unnest({SQ.terms_sql("query")}) run from core_gold), r as (select run from t where regexp_full_match(run, '[{_CJK}]{{3,}}')), g as (select run, list_concat(list_transform(range(1, length(run) - 1), lambda i: substring(run, i, 3)), list_transform(range(1, length(run)), lambda i: substring(run, i, 2))) g from r),
  c as (select run, unnest(g) term, generate_subscripts(g, 1) o from g), w as (select distinct term from c where not regexp_matches(term, '[{Q.ASKING}]') and not list_contains({Q.STOPWORDS}, term)), f as (select term from w where exists (select 1 from chunks where contains(lower(content), lower(term)))),
  a as (select run, list(term order by o) a from (select run, term, min(o) o from c join f using (term) group by 1, 2) group by 1) select run, array_to_string(list_filter(a, lambda v: len(list_filter(a, lambda y: y <> v and contains(v, y))) = 0)[1:8], '|') as terms from a""",
-    "q15_trimmed_terms": f"""with t as (select distinct unnest({SQ.tokens_sql("query")}) run from core_gold), r as (select run, length(run) n, greatest(6, least(24, length(run) - 1)) m from t where regexp_full_match(run, '[{_CJK}]{{2,}}')), k as (select run, n, m, unnest(range(0, n - 1)) k from r),
- c as (select run, k o, left(run, n - k) term from k where k < m union all select run, 1000 + k, right(run, n - k) from k where k between 1 and m - 1), w as (select distinct term from c), f as (select term from w where exists (select 1 from chunks where contains(lower(content), lower(term)))) select run, arg_min(term, o) as term from c join f using (term) group by 1""",
+    "q15_trimmed_terms": f"""with t as (select distinct unnest({SQ.tokens_sql("query")}) run from core_gold), r as (select run, length(run) n from t where regexp_full_match(run, '[{_CJK}]{{2,}}')), k as (select run, n, unnest(range(0, n - 1)) k from r),
+ c as (select run, k o, left(run, n - k) term from k union all select run, n + k, right(run, n - k) from k where k >= 1), w as (select distinct term from c), f as (select term from w where exists (select 1 from chunks where contains(lower(content), lower(term)))) select run, arg_min(term, o) as term from c join f using (term) group by 1""",
     "v7_similarity_bands": """with k as (select q.vec_id q, e.vec_id v, list_distance(q.embedding::double[], e.embedding::double[]) d from embeddings q, embeddings e where q.vec_id % 20 = 0), r as (select d, row_number() over (partition by q order by round(d, 9), v) k from k), s as (select round(greatest(0, least(1, 1 - d * d / 2)), 4) s from r where k <= 5)
  select floor(s * 10)::bigint as band, count(*) as n, count(*) filter (s >= 0.6) as grounded from s group by 1""",
     "x23_evidence_phrases": """with p as (select parent_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '[*_`#>|\\[\\]()]', ' ', 'g'), '[\\n.,;:!?。，；：！？]'), lambda v: trim(v)), lambda v: length(v) >= 4)[1:6] p from parent_blocks where content is not null)

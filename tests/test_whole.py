@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import duckdb
 import pytest
 
 from quern.functions.relevance import Asked, Block
 from quern.operators import evaluate, retrieve
+from quern.plans import surface
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,21 @@ def test_relevance_in_slices_of_questions(spark, numbered, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
+
+
+def test_long_runs_are_cut_to_any_length(spark, tmp_path):
+    """More than 23 characters are cut from a run's end, and from its beginning, like in the SQL text."""
+    far = [chr(0x4E00 + 40 * i) for i in range(60)]
+    begin, end = "台风杜" + "".join(far[:57]), "".join(far[:57]) + "货架号"
+    save = lambda rows, kinds, name: spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([(begin,), (f"{end} valve",), ("".join(far[30:]),), ("台风",), ("台",), ("风台",), (None,)], "query string", "core_gold")
+    save([("台风杜鹃",), ("旧货架号",), ("pump",), (None,)], "content string", "chunks")
+    got = {tuple(r) for r in surface.q15_trimmed_terms(spark, str(tmp_path)).collect()}
+    assert got == {(begin, "台风杜"), (end, "货架号"), ("台风", "台风")}
+    con = duckdb.connect()
+    for name in ("core_gold", "chunks"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert set(con.sql(surface.SQL["q15_trimmed_terms"]).fetchall()) == got
+    x = spark.read.parquet(f"{tmp_path}/chunks.parquet")
+    terms = retrieve.resolve_terms(spark.createDataFrame([("a", begin), ("b", end)], "query_id string, query string"), x, "content").collect()
+    assert {t.query_id for t in terms} == {"a", "b"}
