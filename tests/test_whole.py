@@ -64,3 +64,7 @@ def test_long_runs_are_cut_to_any_length(spark, tmp_path):
     x = spark.read.parquet(f"{tmp_path}/chunks.parquet")
     terms = retrieve.resolve_terms(spark.createDataFrame([("a", begin), ("b", end)], "query_id string, query string"), x, "content").collect()
     assert {t.query_id for t in terms} == {"a", "b"}
+
+
+def test_all_questions_are_explained(spark, numbered):
+    assert {r.query_id for r in retrieve.q23_explained(spark, numbered).select("query_id").distinct().collect()} == {f"q_{i:02}" for i in range(1, 26)}
