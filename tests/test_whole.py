@@ -68,3 +68,11 @@ def test_long_runs_are_cut_to_any_length(spark, tmp_path):
 
 def test_all_questions_are_explained(spark, numbered):
     assert {r.query_id for r in retrieve.q23_explained(spark, numbered).select("query_id").distinct().collect()} == {f"q_{i:02}" for i in range(1, 26)}
+
+
+def test_all_questions_are_summed_up(spark, numbered):
+    """Answers are counted without ranking those that are no overviews, and are as many as the search gives."""
+    got = {tuple(r) for r in retrieve.v14_summary(spark, numbered).collect()}
+    q, (chunks, blocks, notes) = retrieve._questions(spark, numbered), retrieve._kept(spark, numbered)
+    assert got == {tuple(r) for r in retrieve.search(q, chunks, blocks, notes, retrieve._vectors(spark, chunks)).summary.collect()}
+    assert len(got) == 25 and {n for *_, n, _ in got} > {5}
